@@ -164,6 +164,27 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
     return rows.mapInArrow(_predict(prototypes), "doc_id long, lang_pred string, score double")
 
 
+def _keep(prototypes: dict[str, list[float]], least: float, at: int) -> Callable:
+    predict = _predict(prototypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # by place, not by name: other columns may have any name
+            renamed = pa.RecordBatch.from_arrays(whole.columns, [f"c{i}" if i != at else "text" for i in range(whole.num_columns)])
+            for batch in slices(renamed, "text"):
+                (got,) = predict(iter([batch]))
+                ok = pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(got.column("lang_pred").to_pylist(), got.column("score").to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays(batch.filter(ok).columns, whole.schema.names)
+
+    return run
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns, whose text gets a language, with a score of at least
+    `least`; rows whose text is null or has no letter go."""
+    return docs.mapInArrow(_keep(prototypes, least, docs.columns.index("text")), docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """Whether a row is kept from learning: crc32 of its id as text has remainder 1 by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
