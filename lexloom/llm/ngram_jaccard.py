@@ -10,8 +10,9 @@ indexed by what its groups hold:
 2. Linking. Per bucket every set is proposed to one pivot (not to all others); proposals are
    bounded by the summed coordinate minima of the group-count vectors and then verified on the
    whole sets. Components follow.
-3. Rest. A bucket whose sets are now in several components still may hide a link. Its members'
-   count vectors are packed into R-trees (blocks of bounded size), which are searched by
+3. Rest. A bucket whose sets are now in several components still may hide a link. The members
+   of such buckets are gathered by a bucket's smallest member, and their count vectors packed
+   into R-trees (blocks of bounded size), which are searched by
    members of the other components; pairs whose summed minima reach the needed overlap are
    verified, and components are completed. So no link between different sets is lost.
 
@@ -42,7 +43,7 @@ _VALUE[65:91] += np.uint64(32)
 _VALUE[_SEPARATOR] = 0
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Coordinates of a count vector; set ids buffered before combining; members in an R-tree.
-COORDINATES, BUFFER, BLOCK, FANOUT = 32, 1 << 20, 2048, 16
+COORDINATES, BUFFER, BLOCK, FANOUT = 256, 1 << 20, 2048, 16
 
 
 @lru_cache(maxsize=4)
@@ -147,7 +148,7 @@ def routing_keys(shingles: np.ndarray, bands: Intervals) -> np.ndarray:
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
     """How many shingles each of the COORDINATES groups holds."""
-    return np.bincount((shingles & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.int32)
+    return np.bincount((shingles & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
 
 
 def needed(a: int, b: int, num: int, den: int) -> int:
@@ -238,6 +239,8 @@ def _key_pairs(k: int, num: int, den: int, ranges: int) -> Callable:
                     if not len(s):
                         continue
                     keys = routing_keys(s, bands)
+                    if not len(keys):
+                        continue
                     pairs = np.empty(len(keys), _PAIR)
                     pairs["key"] = keys
                     pairs["sid"] = int.from_bytes(_digest(s)[:8], "little", signed=True)
@@ -370,7 +373,7 @@ def _search_block(num: int, den: int) -> Callable:
         table = table.combine_chunks()
         ids, comps = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
         probe = table.column("probe").to_numpy(zero_copy_only=False)
-        points = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32).reshape(-1, COORDINATES)
+        points = np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * COORDINATES else np.uint32).astype(np.int32) for x in table.column("counts").to_pylist()])
         index = np.flatnonzero(~probe)
         found = []
         if len(index):
@@ -396,7 +399,7 @@ def _expand(k: int, num: int, den: int) -> Callable:
                     [
                         batch.column("doc_id"),
                         batch.column("comp"),
-                        pa.array([count_vector(s).tobytes() for s in sets], pa.binary()),
+                        pa.array([count_vector(s).astype(np.uint16 if len(s) < 1 << 16 else np.uint32).tobytes() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
                     ],
                     ["doc_id", "comp", "counts", "keys"],
@@ -407,19 +410,23 @@ def _expand(k: int, num: int, den: int) -> Callable:
 
 def rest_pairs(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """members (doc_id, comp, text): pairs of different components that share a bucket and pass
-    the R-tree's bound."""
+    the R-tree's bound.
+
+    Buckets of several components are gathered by their smallest member: two members of one
+    bucket are in its smallest member's gathering, and the many buckets that a family of near
+    copies shares make few gatherings, in which every pair is met once."""
     spread = stored(members.mapInArrow(_expand(k, num, den), "doc_id long, comp long, counts binary, keys array<long>"), "jaccard-rest")
     rows = spread.select("doc_id", "comp", F.explode("keys").alias("key"))
-    by = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"))
-    # the same members meet in many buckets: one bucket of each membership is enough
-    buckets = by.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("who").alias("who")).where("comps > 1")
-    buckets = buckets.groupBy("n", "who").agg(F.min_by(F.struct("key", "main"), "key").alias("x")).select("x.key", "x.main", "n")
-    held = rows.join(buckets, "key")
+    open_ = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    held = stored(rows.join(open_.select("key", "least"), "key").select("least", "doc_id", "comp").distinct(), "jaccard-gathered")
+    by = held.groupBy("least", "comp").agg(F.count("*").alias("n"))
+    by = by.groupBy("least").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    held = held.join(by, "least")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = held.select("key", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), "doc_id", "comp", F.lit(False).alias("probe"))
-    probes = held.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "doc_id", "comp", F.lit(True).alias("probe"))
+    own = held.select("least", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), "doc_id", "comp", F.lit(False).alias("probe"))
+    probes = held.where("comp <> main").select("least", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "doc_id", "comp", F.lit(True).alias("probe"))
     dealt = own.union(probes).join(spread.select("doc_id", "counts"), "doc_id")
-    return dealt.groupBy("key", "block").applyInArrow(_search_block(num, den), "a long, b long").distinct()
+    return dealt.groupBy("least", "block").applyInArrow(_search_block(num, den), "a long, b long").distinct()
 
 
 # -- the operator --------------------------------------------------------------------------
