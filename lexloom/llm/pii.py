@@ -97,16 +97,22 @@ def _bootstrap(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(uid, s, e) of tokens that high-scoring patterns bring in."""
     free = "filter(token, t -> not exists(concat(email, ip, card, phone, failed), b -> b.s < t.e and t.s < b.e))"
     seeds = F.expr(f"transform(concat(email, ip, card, phone), x -> named_struct('i', lower(x.h), 'p', {_patterns('x.c')}, 'seed', true, 's', x.s, 'e', x.e))")
-    others = F.expr(f"transform(concat({free}, failed), x -> named_struct('i', lower(x.h), 'p', {_patterns('x.c')}, 'seed', false, 's', x.s, 'e', x.e))")
+    others = F.expr(f"transform({free}, x -> named_struct('i', lower(x.h), 'p', {_patterns('x.c')}, 'seed', false, 's', x.s, 'e', x.e))")
     held = found.select("uid", F.explode(F.concat(seeds, others)).alias("x")).select("uid", "x.*").where(F.size("p") > 0)
     held = stored(held, "pii-held")
     graph = held.select("i", "seed", F.explode("p").alias("pattern")).groupBy("pattern", "i").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     good = graph.where("seed").groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
     good = good.checkpoint()
+    # Texts with digits hold all instances. A pattern that other words follow so often there that
+    # it could not be confident if all its instances were believed, cannot be with the rest of the
+    # corpus either: such patterns need not be looked for in it.
+    most = graph.groupBy("pattern").agg(F.sum("n").alias("most"))
+    near = _background(texts.where("text rlike '[0-9]'"), good).join(most, "pattern")
+    good = near.where(F.col("most") / (F.col("total") + PRIOR) >= CONFIDENT).select("pattern").checkpoint()
     if not good.take(1):
         return held.where("false").select("uid", "s", "e", F.col("i").alias("h"))
     graph = graph.join(_background(texts, good), "pattern").checkpoint()
-    # what failed a check is never believed
+    # what failed a check somewhere is never believed
     failed = found.select(F.explode("failed").alias("x")).select(F.lower("x.h").alias("i")).distinct().withColumn("no", F.lit(True))
     scores = graph.groupBy("i").agg(F.max("seed").alias("seed")).join(failed, "i", "left")
     scores = scores.select("i", "seed", F.coalesce("no", F.lit(False)).alias("no"), F.col("seed").cast("double").alias("score")).checkpoint()
