@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays. Rows with a null doc_id are linked with nothing and stay."""
     groups = ngram_jaccard.ngram_jaccard_join(docs, SHINGLE, *SIMILAR)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
