@@ -83,3 +83,19 @@ def dsc_compress(c: Column, level: int = 9, seed: int = 0) -> Column:
         return data.map(lambda x: None if x is None else bytes(x) if dsc.is_compressed(bytes(x)) else dsc.compress_checked(bytes(x), level, seed))
 
     return run(c)
+
+
+#: Code pages by number, as the older tools name them: fixed values.
+CODE_PAGES = {"932": "cp932", "1252": "cp1252", "1200": "utf-16-le", "12000": "utf-32-le", "65000": "utf-7", "65001": "utf-8"}
+
+
+def recode(c: Column, source: str, target: str) -> Column:
+    """Bytes from one character set to another, by name or code-page number. Bytes that are not
+    of the source set, and characters the target lacks, are errors."""
+    a, b = CODE_PAGES.get(source, source), CODE_PAGES.get(target, target)
+
+    @F.pandas_udf(BinaryType())
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: None if x is None else bytes(x).decode(a).encode(b))
+
+    return run(c)

@@ -288,6 +288,37 @@ def keystream_values(spark, d):
     return rows.select("p_partkey", (F.col("n") + 1).alias("n"), F.col("key").cast("long").alias("key"))
 
 
+@query("SELECT p_partkey, p_name AS name, strlen(p_name)::INT AS narrow, (2 * length(p_name))::INT AS wide FROM part")
+def charset_conversion(spark, d):
+    wide = B.recode(F.encode("p_name", "UTF-8"), "65001", "1200")
+    rows = _t(spark, d, "part").select("p_partkey", wide.alias("w"), B.recode(F.encode("p_name", "UTF-8"), "utf-8", "932").alias("n"))
+    back = F.decode(B.recode(B.recode(F.col("w"), "1200", "932"), "932", "utf-8"), "UTF-8")
+    return rows.select("p_partkey", back.alias("name"), F.octet_length("n").alias("narrow"), F.octet_length("w").alias("wide"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'DSC' WHEN page_id % 3 = 1 THEN 'CBG' ELSE 'RAW' END AS kind FROM pages")
+def content_sniffing(spark, d):
+    from lexloom.codecs import cbg, dsc
+
+    @F.udf("string")
+    def sniff(data: bytes) -> str:
+        from lexloom.codecs.images import kind
+
+        return kind(bytes(data))
+
+    magic = F.when(F.col("page_id") % 3 == 0, F.lit(dsc.MAGIC)).when(F.col("page_id") % 3 == 1, F.lit(cbg.MAGIC)).otherwise(F.encode(F.lit("<"), "UTF-8"))
+    return _t(spark, d, "pages").select("page_id", sniff(F.concat(magic, F.encode("html", "UTF-8"))).alias("kind"))
+
+
+@query("""WITH f AS (SELECT event_type AS sym, count(*) AS n FROM events GROUP BY event_type), r AS (SELECT *, row_number() OVER (ORDER BY n, sym) AS place FROM f)
+SELECT sym, n, place FROM r WHERE place <= 2""")
+def two_lightest(spark, d):
+    # the pair a Huffman step merges: the two smallest weights, of equal ones the first
+    counts = _t(spark, d, "events").groupBy(F.col("event_type").alias("sym")).agg(F.count("*").alias("n"))
+    least = counts.orderBy("n", "sym").limit(2)
+    return least.withColumn("place", F.row_number().over(Window.orderBy("n", "sym")).cast("long"))
+
+
 @query("SELECT conv_id, turn, text, text AS plain, true AS packed FROM conversations")
 def dsc_roundtrip(spark, d):
     data = F.encode("text", "UTF-8")
