@@ -24,8 +24,10 @@ salted. Memory per task: a buffer of pairs, one block, or two sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -107,42 +109,54 @@ class Intervals:
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den, self.ends = num, den, [0]
+        self.plans: dict[int, tuple[int, int]] = {}
 
     def band(self, size: int) -> int:
         while self.ends[-1] < size:
             self.ends.append((self.ends[-1] + 1) * self.den // self.num)
         return int(np.searchsorted(self.ends, size))
 
-    def differing(self, interval: int) -> int:
-        """The most shingles in which two linked sets of the interval can differ."""
-        while len(self.ends) <= interval:
+    def _end(self, band: int) -> int:
+        while len(self.ends) <= band:
             self.ends.append((self.ends[-1] + 1) * self.den // self.num)
-        return 2 * self.ends[interval] * (self.den - self.num) // (self.den + self.num)
+        return self.ends[band]
+
+    def plan(self, interval: int) -> tuple[int, int]:
+        """(D, groups): the most shingles in which two linked sets of the interval can differ,
+        and how many groups to cut sets into: more than D by what is likely empty in the smallest."""
+        if interval not in self.plans:
+            most = 2 * self._end(interval) * (self.den - self.num) // (self.den + self.num)
+            least, groups = self._end(max(0, interval - 2)) + 1, most + 1
+            for _ in range(2):
+                empty = groups * math.exp(-least / groups)
+                groups = most + 2 + math.ceil(empty + 2 * math.sqrt(empty))
+            self.plans[interval] = most, groups
+        return self.plans[interval]
 
 
 def routing_keys(shingles: np.ndarray, bands: Intervals) -> np.ndarray:
     """Keys of which any two linked, different sets share one. See the module's text, step 1.
 
-    Groups that are empty in both sets would agree without meaning; D + 1 + spare groups leave
-    an agreeing group that is not empty, unless a set has so many empty groups that these could
-    be all that agree: only such sets also key their empty groups, which is enough, as a pair
-    is only at risk if both have that many."""
+    With D + m groups at least m agree, but groups that are empty in both sets agree without
+    meaning. Most sets have fewer than m empty groups, and then one that is not empty agrees.
+    Two sets of m or more could agree on m empty ones alone: such sets also key every choice of
+    m of their empty groups (with m or little more to choose from, few)."""
     out = []
     band = bands.band(len(shingles))
     for interval in (band, band + 1):
-        differing = bands.differing(interval)
+        differing, groups = bands.plan(interval)
         if not differing:  # linked sets are equal
             continue
-        groups = differing + 1 + (differing + 8) // 12
         group = ((shingles >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         salt = np.uint64(interval << 40)
         full = group[starts]
         content = np.add.reduceat(mix(shingles), starts)
         out.append(mix(content + mix(full + salt)))
-        if groups - len(full) >= groups - differing:
-            empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), full)
-            out.append(mix(mix(empty + salt)))
+        m = groups - differing
+        if groups - len(full) >= m:
+            empty = mix(mix(np.setdiff1d(np.arange(groups, dtype=np.uint64), full) + salt))
+            out.append(np.array([mix(empty[list(c)].sum(keepdims=True))[0] for c in combinations(range(len(empty)), m)], np.uint64))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -313,7 +327,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, sal
     Texts travel once to each pivot b they are proposed to; pivots are salted."""
     dealt = pairs.where("a <> b").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
     wanted = dealt.union(dealt.select(F.col("b").alias("a"), "b", "salt").distinct())
-    rows = wanted.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    # texts are joined alike at every size: a side that grows with the input is not broadcast
+    rows = texts.select(F.col("doc_id").alias("a"), "text").join(wanted.hint("merge"), "a")
     rows = rows.select("b", "salt", "a", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
     return rows.mapInArrow(_verify(k, num, den), "a long, b long, linked boolean")
 
@@ -458,8 +473,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     proposed = stored(proposed.where("a <> b").distinct(), "jaccard-proposed")
 
     wanted = proposed.select(F.col("a").alias("doc_id")).union(proposed.select("b")).distinct()
-    involved = texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]) if _repeats(described) else texts.join(wanted, "doc_id")
-    involved = stored(involved, "jaccard-involved")
+    involved = texts.join(wanted.hint("merge"), "doc_id")
+    involved = stored(involved.dropDuplicates(["doc_id"]) if _repeats(described) else involved, "jaccard-involved")
     judged = stored(verified(proposed, involved, k, num, den), "jaccard-judged")
     links = judged.where("linked").select("a", "b")
     comps = components(links).checkpoint()
