@@ -159,8 +159,8 @@ def _best(k: int) -> Callable:
 
 
 def _probe(index: DataFrame, visits: DataFrame, k: int, blocks: int) -> DataFrame:
-    side = lambda df, asks, block: df.select("tile", block.cast("int").alias("block"), "vec_id", "x", F.lit(asks).alias("asks"))
-    asked = side(visits, True, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    side = lambda df, asks, block: df.select("tile", block.alias("block"), "vec_id", "x", F.lit(asks).alias("asks"))
+    asked = side(visits, True, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     rows = side(index, False, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
     return asked.union(rows).groupBy("tile", "block").applyInArrow(_best(k), "query_id long, vec_id long, score long")
 
@@ -172,7 +172,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tile: int = TILE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products with other
     rows, ties to the smaller vec_id; all, if there are fewer.
 
@@ -190,7 +190,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tile: int = TILE
     counts = placed.groupBy("pivot", "annulus").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high")).collect()  # at most PIVOTS * ANNULI
     book = Directory(pivots, top, [tuple(r) for r in counts], tile)
     index = rows.mapInArrow(_assign(book, pivots, top), "tile int, vec_id long, x array<long>")
-    blocks = max(1, -(-asked.count() // BLOCK))
+    blocks = max(1, -(-asked.count() // block))
     schema = "tile int, vec_id long, x array<long>"
     near = stored(_top(_probe(index, asked.mapInArrow(_visits(book, k, True), schema), k, blocks), k), "search-near")
     worst = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("worst"))

@@ -55,12 +55,12 @@ def test_near_duplicates_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize(("tile", "k"), [(16, 20), (8192, 20), (50, 3)])
-def test_topk(spark, tile, k):
+@pytest.mark.parametrize(("tile", "block", "k"), [(16, 2048, 20), (8192, 2048, 20), (50, 7, 3), (40, 10, 20)])
+def test_topk(spark, tile, block, k):
     rows = _vectors()
     df = topk_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"))
     got = {}
-    for r in topk_search.search(df, df.where("vec_id % 20 = 0"), k, tile).collect():
+    for r in topk_search.search(df, df.where("vec_id % 20 = 0"), k, tile, block).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ints = {i: [math.floor(64 * x) for x in v] for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and len(v) == 12}
     for q in [i for i in ints if i % 20 == 0]:
