@@ -27,7 +27,6 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +128,7 @@ class Intervals:
             least, groups = self._end(max(0, interval - 2)) + 1, most + 1
             for _ in range(2):
                 empty = groups * math.exp(-least / groups)
-                groups = most + 2 + math.ceil(empty + 2 * math.sqrt(empty))
+                groups = most + 3 + math.ceil(empty + 3 * math.sqrt(empty))
             self.plans[interval] = most, groups
         return self.plans[interval]
 
@@ -139,8 +138,8 @@ def routing_keys(shingles: np.ndarray, bands: Intervals) -> np.ndarray:
 
     With D + m groups at least m agree, but groups that are empty in both sets agree without
     meaning. Most sets have fewer than m empty groups, and then one that is not empty agrees.
-    Two sets of m or more could agree on m empty ones alone: such sets also key every choice of
-    m of their empty groups (with m or little more to choose from, few)."""
+    Two sets of m or more (m is 3 at least) could agree on m empty ones alone: such sets, about
+    one in a thousand, also key every pair of their empty groups."""
     out = []
     band = bands.band(len(shingles))
     for interval in (band, band + 1):
@@ -156,7 +155,8 @@ def routing_keys(shingles: np.ndarray, bands: Intervals) -> np.ndarray:
         m = groups - differing
         if groups - len(full) >= m:
             empty = mix(mix(np.setdiff1d(np.arange(groups, dtype=np.uint64), full) + salt))
-            out.append(np.array([mix(empty[list(c)].sum(keepdims=True))[0] for c in combinations(range(len(empty)), m)], np.uint64))
+            one, other = np.triu_indices(len(empty), 1)
+            out.append(mix(empty[one] + empty[other]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -74,6 +74,28 @@ def test_rtree_finds_all():
         assert set(tree.search(probe, 85, 100).tolist()) == want
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_linked_sets_share_a_key_and_keys_stay_few(num):
+    import numpy as np
+
+    from lexloom.llm.common import mix
+
+    rng = np.random.default_rng(num)
+    new = lambda n: mix(rng.integers(0, 2**63, n).astype(np.uint64))
+    bands, linked = ngram_jaccard.Intervals(num, 100), 0
+    for n in [*range(7, 60), *range(60, 3000, 97), 9000, 20_000]:
+        a = np.unique(new(n))
+        out, more = rng.integers(0, n // 6 + 2, 2)
+        b = np.unique(np.concatenate([rng.permutation(a)[out:], new(more)]))
+        common = len(np.intersect1d(a, b))
+        keys = ngram_jaccard.routing_keys(a, bands)
+        assert len(keys) < 4 * n + 100
+        if 100 * common >= num * (len(a) + len(b) - common) and not np.array_equal(a, b):
+            linked += 1
+            assert len(np.intersect1d(keys, ngram_jaccard.routing_keys(b, bands)))
+    assert linked > 15
+
+
 def test_rest_finds_links_the_pivot_misses(spark):
     # two sets link with each other but not with their bucket's pivot: only the R-tree can tell
     rnd = random.Random(8)
