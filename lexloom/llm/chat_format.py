@@ -27,6 +27,8 @@ _CONTROL = re.compile("|".join(["\\\\", *map(re.escape, CONTROL)]))
 _ESCAPED = re.compile(r"\\(\\?)")
 #: Characters of a conversation that are rendered before a piece is encoded; pieces end with turns.
 PIECE = 1 << 20
+#: Words whose merges a task's tokenizer remembers.
+WORDS = 200_000
 
 
 def escape(text: str) -> str:
@@ -77,7 +79,7 @@ def token_mask(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.n
     its piece only once: a piece starts where the one before ended."""
     mask = np.zeros(len(offsets), bool)
     pieces = []
-    starts, ends = offsets[:, 0], offsets[:, 1]
+    starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
     for a, b in spans.tolist():
         lo, hi = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
         mask[lo:hi] = True
@@ -93,6 +95,9 @@ def _tokenizer(data: str):  # noqa: ANN202 - the library's class
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(data)
+    resize = getattr(tokenizer.model, "_resize_cache", None)
+    if resize:  # words kept with their merges; the library's own default is 10,000
+        resize(WORDS)
     tokenizer.encode_special_tokens = True
     return tokenizer
 
