@@ -35,6 +35,8 @@ _KEYED = re.compile(r"password|passwd|secret|token|key|auth|credential", re.ASCI
 SHORTEST, REACH = 8, 48
 #: Texts and chains the field is fitted on: its documented bounds.
 SAMPLE, CHAINS, LONGEST = 20_000, 8_000, 6
+#: Kinds of chains that have a share of the bound each: with a secret, clean.
+STRATA = 2
 #: Hash buckets of a word feature; numbers of values of the other features, in order.
 WORDS = 1024
 _SIZES = (8, 16, 8, 2, 16, 8, WORDS, WORDS, WORDS, 8)
@@ -98,26 +100,44 @@ def _file(text: str) -> int:
     return bool(_KEYED.search(text)) + 2 * (len(text) < 500) + 4 * ("{" in text or "</" in text)
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            place, feats, tags = [], [], []
-            for text in batch.column("text").to_pylist():
-                if not text:
-                    continue
-                base, file = base_spans(text), None
-                for n, run in enumerate(chains(text)):
-                    file = _file(text) if file is None else file
-                    run = run[:LONGEST]
-                    f = [_features(text, a, b, file) for a, b in run]
-                    hit = [next((s for s in base if s[0] < b and a < s[2]), None) for a, b in run]
-                    t = [0 if h is None else 2 if i and hit[i - 1] == h else 1 for i, h in enumerate(hit)]
-                    feats.append([x for row in f for x in row])
-                    tags.append(t)
-                    # secrets first, then whatever a hash says
-                    place.append((0 if any(t) else 1 << 33) + zlib.crc32(f"{n}:{text[run[0][0] : run[-1][1]]}".encode()))
-            if place:
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(feats, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], ["place", "features", "tags"])
+def _train_rows(rates: list[float] | None = None) -> Callable:
+    """Chains of the batches as (kind, place, features, tags), kind 0 with a secret and 1 clean:
+    those whose hash is below their kind's rate; without rates only their number by kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                out, count = [], [0] * STRATA
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    if not text:
+                        continue
+                    base, file = base_spans(text), None
+                    for n, chain in enumerate(chains(text)):
+                        chain = chain[:LONGEST]
+                        hit = [next((s for s in base if s[0] < b and a < s[2]), None) for a, b in chain]
+                        tags = [0 if h is None else 2 if i and hit[i - 1] == h else 1 for i, h in enumerate(hit)]
+                        kind = 0 if any(tags) else 1
+                        count[kind] += 1
+                        place = zlib.crc32(f"{doc}:{n}:{text[chain[0][0] : chain[-1][1]]}".encode())
+                        if rates and place < rates[kind] * (1 << 32):
+                            file = _file(text) if file is None else file
+                            out.append((kind, place, [x for a, b in chain for x in _features(text, a, b, file)], tags))
+                if rates is None:
+                    out = [(k, n, None, None) for k, n in enumerate(count)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["kind", "place", "features", "tags"])
+
+    return run
+
+
+def _room(counts: list[int], limit: int) -> list[int]:
+    """How many of each kind `limit` has room for: half for secrets, the rest alike for the
+    others; what one does not need goes to the others."""
+    rest = len(counts) - 1
+    keep = [min(n, limit // 2 if k == 0 else limit // 2 // rest) for k, n in enumerate(counts)]
+    for k, n in enumerate(counts):
+        keep[k] += min(n - keep[k], limit - sum(keep))
+    return keep
 
 
 class Field:
@@ -127,24 +147,28 @@ class Field:
         self.emit, self.move = emit, move
 
     @classmethod
-    def fit(cls, rows: list[tuple[list[int], list[int]]], rounds: int = 120, decay: float = 1e-3) -> Field:
-        """Maximise the penalised log-likelihood by AdaGrad over all chains at once."""
+    def fit(cls, rows: list[tuple[list[int], list[int]]], rounds: int = 120, decay: float = 1e-3, lean: list[float] | None = None) -> Field:
+        """Maximise the penalised log-likelihood by AdaGrad over all chains at once.
+
+        lean: for each row the logarithm of how much likelier the sample took it had it held a
+        secret. It is added to B while fitting only, so the field has the prior of all chains."""
         emit, move = np.zeros((FEATURES, 3)), np.zeros((4, 4))  # 3: outside the chain
         if not rows:
             emit[:, 0] = 1.0
             return cls(emit, move)
         k = len(_SIZES)
         by: dict[int, list] = {}
-        for f, t in sorted(rows):
-            by.setdefault(len(t), []).append((f, t))
-        packs = [(np.array([f for f, _ in x]).reshape(len(x), n, k), np.array([t for _, t in x])) for n, x in by.items()]
+        for f, t, o in sorted((f, t, o) for (f, t), o in zip(rows, lean or [0.0] * len(rows), strict=True)):
+            by.setdefault(len(t), []).append((f, t, o))
+        packs = [(np.array([f for f, _, _ in x]).reshape(len(x), n, k), np.array([t for _, t, _ in x]), np.array([o for _, _, o in x])) for n, x in by.items()]
         total = len(rows)
         ge, gm = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
         for _ in range(rounds):
             de, dm = -decay * emit, -decay * move
-            for f, t in packs:
+            for f, t, o in packs:
                 n = f.shape[1]
                 score = emit[f].sum(axis=2)
+                score[:, :, 1] += o[:, None]
                 alpha = [move[3, :3] + score[:, 0]]
                 for i in range(1, n):
                     alpha.append(_logsum(alpha[-1][:, :, None] + move[:3, :3], 1) + score[:, i])
@@ -209,12 +233,24 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(texts: DataFrame, sample: int = SAMPLE, limit: int = CHAINS) -> Field:
     """Fit the field on about `sample` texts (those with the smallest hash of doc_id) and at
-    most `limit` of their chains; the base patterns label them."""
+    most `limit` of their chains; the base patterns label them. Each kind of chain has its
+    share of the limit, those with the smallest hash; the shares are corrected for in the fit."""
     n = texts.count()
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(10)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = texts.where(place < min(1.0, sample / max(1, n))).select("text").mapInArrow(_train_rows, "place long, features array<int>, tags array<int>")
-    got = rows.orderBy("place", "features").limit(limit).collect()
-    return Field.fit([(list(r["features"]), list(r["tags"])) for r in got])
+    rows = texts.where(place < min(1.0, sample / max(1, n))).select("doc_id", "text")
+    schema = "kind int, place long, features array<int>, tags array<int>"
+    counted = {r["kind"]: r["n"] for r in rows.mapInArrow(_train_rows(), schema).groupBy("kind").agg(F.sum("place").alias("n")).collect()}
+    counts = [counted.get(k, 0) for k in range(STRATA)]
+    keep = _room(counts, limit)
+    # a little more than there is room for, cut to it here
+    rates = [0.0 if not c else 1.0 if r == c else (r + 5 * r**0.5 + 5) / c for r, c in zip(keep, counts, strict=True)]
+    got: list[list] = [[] for _ in counts]
+    for r in rows.mapInArrow(_train_rows(rates), schema).collect():
+        got[r["kind"]].append((r["place"], list(r["features"]), list(r["tags"])))
+    got = [sorted(x)[:r] for x, r in zip(got, keep, strict=True)]
+    share = [len(x) / max(1, c) for x, c in zip(got, counts, strict=True)]
+    lean = float(np.log(share[0] / share[1])) if min(share) > 0 else 0.0
+    return Field.fit([(f, t) for x in got for _, f, t in x], lean=[lean] * sum(map(len, got)))
 
 
 def _scan(field: Field) -> Callable:

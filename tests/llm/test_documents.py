@@ -212,6 +212,14 @@ def test_field_learns_and_viterbi_is_exact():
         assert tuple(field.viterbi(feats)) == max(itertools.product(range(3), repeat=4), key=score)
 
 
+def test_field_keeps_clean_chains_when_secrets_fill_the_bound(spark):
+    texts = [f"password: {i * 7919 % 10007:05d}zq{i:05d}" for i in range(300)] + [f"shipment {i * 7919 % 10007:05d}{i:05d} left" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    field = secret_scan.train(docs, limit=60)
+    assert field.spans("shipment 1234567890 left", []) == []
+    assert secret_scan._room([300, 300], 60) == [30, 30] and secret_scan._room([5, 300], 60) == [5, 55]
+
+
 def test_mixing(spark, docs, rows):
     out = source_mixing.replicate(docs, total=4 * len(rows)).collect()
     assert abs(len(out) - 4 * len(rows)) < 8 * len(rows) ** 0.5
