@@ -2,10 +2,10 @@
 
 Tokens are runs of `[A-Za-z0-9+/_.=-]`; the field tags each as O (outside), B (begin) or I
 (inside a secret) from its shape, its neighbouring words and punctuation and features of the
-file, and Viterbi decodes the tags. Only tokens of SHORTEST characters that hold a digit may be
-B or I; any other token is O, so it cuts the chain, and decoding the pieces between cuts is
-decoding the whole. Fixed patterns (the base) label the training rows and are always reported;
-the field adds what it finds besides.
+file, and Viterbi decodes the tags of all tokens of a text. The text is read in blocks. A token
+whose O beats B and I by more than any transitions could make up is O on the best path whatever
+its neighbours are; only what lies between such tokens takes steps one by one. Fixed patterns
+(the base) label the training rows and are always reported; the field adds what it finds besides.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import slices
+from lexloom.llm.common import mix, slices
 
 #: Base patterns: fixed values of the contract. Group 2 of an assignment is the secret.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -31,12 +31,15 @@ KINDS = ("assign", "access", "hex", "crf")
 _ALLOWED = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_PARTS, _REST = re.compile(r"([A-Za-z0-9+/_.=-]+)"), re.compile(r"[A-Za-z0-9+/_.=-]*")
 _KEYED = re.compile(r"password|passwd|secret|token|key|auth|credential", re.ASCII | re.IGNORECASE)
-SHORTEST, REACH = 8, 48
 #: Texts and chains the field is fitted on: its documented bounds.
 SAMPLE, CHAINS, LONGEST = 20_000, 8_000, 6
-#: Kinds of chains that have a share of the bound each: with a secret, clean.
-STRATA = 2
+#: Kinds of chains that have a share of the bound each: with a secret, clean with a token of 8
+#: characters and a digit, clean without.
+STRATA = 3
+#: Code points of a block, tokens of an open piece before its settled part is let go.
+BLOCK, PENDING = 1 << 16, 4096
 #: Hash buckets of a word feature; numbers of values of the other features, in order.
 WORDS = 1024
 _SIZES = (8, 16, 8, 2, 16, 8, WORDS, WORDS, WORDS, 8)
@@ -56,33 +59,85 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.lower().encode()) % WORDS
 
 
+#: Kinds of characters of a token, and where they change.
+_CLASSES = {i: "d" if chr(i).isdigit() else "a" if chr(i).isalpha() else "p" for i in range(128)}
+_TURNS = ("da", "ad", "dp", "pd", "ap", "pa")
+
+
+def _shape(token: str) -> int:
+    """What a token says by itself, packed: six features and its equals signs at the end."""
+    n, kinds = len(token), token.translate(_CLASSES)
+    digits, turns = kinds.count("d"), 0 if token.isalpha() else sum(map(kinds.count, _TURNS))
+    out = min(7, n.bit_length())
+    out = out * 16 + min(15, digits * 16 // (n + 1))
+    out = out * 8 + (token != token.lower()) + 2 * (token != token.upper()) + 4 * ("p" in kinds)
+    out = out * 2 + (not token.strip("0123456789abcdefABCDEF"))
+    out = out * 16 + min(15, turns * 16 // n)
+    out = out * WORDS + _bucket(token)
+    return out * 4 + token.endswith("=") + 2 * (not token.strip("="))
+
+
+def _gap(between: str) -> int:
+    """What stands right before a token: equals sign, colon, quote; 8: nothing else is between."""
+    gap = between[len(between.rstrip("\"'`=:;,>< \t|([{")) :]
+    return ("=" in gap) + 2 * (":" in gap) + 4 * ('"' in gap or "'" in gap) + 8 * (len(gap) == len(between))
+
+
+class _Memo(dict):
+    """Values of short strings, worked out once."""
+
+    def __init__(self, of: Callable[[str], int]) -> None:
+        self.of = of
+
+    def __missing__(self, key: str) -> int:
+        value = self.of(key)
+        if len(key) <= 64:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[key] = value
+        return value
+
+
+_SHAPES, _GAPS = _Memo(_shape), _Memo(_gap)
+
+
+def _blocks(text: str, file: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All tokens of the text in blocks: starts, ends and a row of features each."""
+    at, context = 0, []  # where the block starts, the starts of the two tokens before it
+    while m := _WORD.search(text, at):
+        to = _REST.match(text, min(len(text), m.start() + BLOCK)).end()
+        after = _WORD.search(text, to)
+        begin = context[0] if context else 0
+        parts = _PARTS.split(text[begin : after.end() if after else to])
+        tokens, between = parts[1::2], parts[0:-1:2]
+        edges = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        starts, ends = begin + edges[0:-1:2], begin + edges[1::2]
+        packed = np.fromiter(map(_SHAPES.__getitem__, tokens), np.int64, len(tokens))
+        gaps = np.fromiter(map(_GAPS.__getitem__, between), np.int64, len(tokens))
+        shift = lambda x, k: np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[:-k]])
+        word, equals = packed // 4 % WORDS, packed % 4
+        # equals signs count to the gap though tokens may hold them
+        joined = np.where(gaps >= 8, shift(equals % 2, 1) | np.where(shift(equals, 1) >= 2, shift(gaps % 8, 1), 0), 0)
+        rows = np.empty((len(tokens), len(_SIZES)), np.int32)
+        packed //= 4 * WORDS
+        for j in (4, 3, 2, 1, 0):
+            rows[:, j] = packed % _SIZES[j]
+            packed //= _SIZES[j]
+        rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 8], rows[:, 9] = gaps % 8 | joined, shift(word, 1), shift(word, 2), np.append(word[1:], 0), file
+        rows += _STARTS.astype(np.int32)
+        own = slice(len(context), len(tokens) - (after is not None))
+        yield starts[own], ends[own], rows[own]
+        context, at = starts[: own.stop][-2:].tolist(), to
+
+
 def _features(text: str, start: int, end: int, file: int) -> list[int]:
-    token = text[start:end]
-    before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
-    words = _WORD.findall(before)
-    following = _WORD.search(after)
-    gap = before[len(before.rstrip("\"'`=:;,>< \t|([{")) :] if words else before
-    digits = sum(c.isdigit() for c in token)
-    upper, lower = any("A" <= c <= "Z" for c in token), any("a" <= c <= "z" for c in token)
-    kinds = ["d" if c.isdigit() else "a" if c.isalpha() else "p" for c in token]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    values = (
-        min(7, len(token).bit_length()),
-        min(15, digits * 16 // (len(token) + 1)),
-        upper + 2 * lower + 4 * any(c in "+/_=-." for c in token),
-        int(all(c in "0123456789abcdefABCDEF" for c in token)),
-        min(15, turns * 16 // len(token)),
-        ("=" in gap) + 2 * (":" in gap) + 4 * ('"' in gap or "'" in gap),
-        _bucket(words[-1]) if words else 0,
-        _bucket(words[-2]) if len(words) > 1 else 0,
-        _bucket(following[0]) if following else 0,
-        file,
-    )
-    return [int(s) + v for s, v in zip(_STARTS, values, strict=True)]
+    """The row of one token."""
+    return next(rows[i].tolist() for starts, ends, rows in _blocks(text, file) for i in np.flatnonzero((starts == start) & (ends == end)))
 
 
 def chains(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that may be B or I, as spans."""
+    """Runs of neighbouring tokens of 8 characters with a digit, as spans: what clean texts hold
+    that looks most like secrets, so training keeps a share of it."""
     run: list[tuple[int, int]] = []
     for m in _ALLOWED.finditer(text):
         if not _DIGIT.search(m[0]):
@@ -100,32 +155,53 @@ def _file(text: str) -> int:
     return bool(_KEYED.search(text)) + 2 * (len(text) < 500) + 4 * ("{" in text or "</" in text)
 
 
+def _values(text: str) -> list[tuple[int, int]]:
+    """Spans of the base's secrets without the names before them."""
+    out = [m.span(2) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    return sorted({*out, *((a, b) for a, k, b in base_spans(text) if k)})
+
+
+def _touched(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """For each token the first span it meets, or -1; spans are sorted."""
+    out = np.full(len(starts), -1)
+    for n in range(len(spans) - 1, -1, -1):
+        a, b = spans[n]
+        out[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = n
+    return out
+
+
 def _train_rows(rates: list[float] | None = None) -> Callable:
-    """Chains of the batches as (kind, place, features, tags), kind 0 with a secret and 1 clean:
-    those whose hash is below their kind's rate; without rates only their number by kind."""
+    """All tokens of the batches as chains of up to LONGEST: (kind, like, place, features, tags),
+    kind one of STRATA and like the kind it had without its secrets. Those whose hash is below
+    their kind's rate; without rates only their number by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for whole in batches:
             for batch in slices(whole, "text"):
-                out, count = [], [0] * STRATA
+                out, count = [], np.zeros(STRATA, np.int64)
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if not text:
                         continue
-                    base, file = base_spans(text), None
-                    for n, chain in enumerate(chains(text)):
-                        chain = chain[:LONGEST]
-                        hit = [next((s for s in base if s[0] < b and a < s[2]), None) for a, b in chain]
-                        tags = [0 if h is None else 2 if i and hit[i - 1] == h else 1 for i, h in enumerate(hit)]
-                        kind = 0 if any(tags) else 1
-                        count[kind] += 1
-                        place = zlib.crc32(f"{doc}:{n}:{text[chain[0][0] : chain[-1][1]]}".encode())
-                        if rates and place < rates[kind] * (1 << 32):
-                            file = _file(text) if file is None else file
-                            out.append((kind, place, [x for a, b in chain for x in _features(text, a, b, file)], tags))
+                    values, likely = _values(text), [x for run in chains(text) for x in run]
+                    seed = np.uint64(zlib.crc32(f"{doc}:{len(text)}:{text[:256]}".encode()) << 32)
+                    for starts, ends, rows in _blocks(text, _file(text)):
+                        hit, hard = _touched(starts, ends, values), _touched(starts, ends, likely) >= 0
+                        cut = np.arange(0, len(starts), LONGEST)
+                        like = np.where(np.logical_or.reduceat(hard, cut), 1, 2)
+                        kinds = np.where(np.maximum.reduceat(hit, cut) >= 0, 0, like)
+                        count = count + np.bincount(kinds, minlength=STRATA)
+                        if not rates:
+                            continue
+                        places = (mix(seed + starts[cut].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+                        for n in np.flatnonzero(places < np.array(rates)[kinds] * (1 << 32)).tolist():
+                            own = hit[n * LONGEST : (n + 1) * LONGEST].tolist()
+                            tags = [0 if h < 0 else 2 if j and own[j - 1] == h else 1 for j, h in enumerate(own)]
+                            out.append((int(kinds[n]), int(like[n]), int(places[n]), rows[n * LONGEST : (n + 1) * LONGEST].ravel().tolist(), tags))
                 if rates is None:
-                    out = [(k, n, None, None) for k, n in enumerate(count)]
+                    out = [(k, k, n, None, None) for k, n in enumerate(count.tolist())]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["kind", "place", "features", "tags"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "like", "place", "features", "tags"])
 
     return run
 
@@ -153,9 +229,10 @@ class Field:
         lean: for each row the logarithm of how much likelier the sample took it had it held a
         secret. It is added to B while fitting only, so the field has the prior of all chains."""
         emit, move = np.zeros((FEATURES, 3)), np.zeros((4, 4))  # 3: outside the chain
+        emit[:, 0] = 1.0  # what no row shows speaks for no secret
         if not rows:
-            emit[:, 0] = 1.0
             return cls(emit, move)
+        first = emit.copy()
         k = len(_SIZES)
         by: dict[int, list] = {}
         for f, t, o in sorted((f, t, o) for (f, t), o in zip(rows, lean or [0.0] * len(rows), strict=True)):
@@ -164,7 +241,7 @@ class Field:
         total = len(rows)
         ge, gm = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
         for _ in range(rounds):
-            de, dm = -decay * emit, -decay * move
+            de, dm = decay * (first - emit), -decay * move
             for f, t, o in packs:
                 n = f.shape[1]
                 score = emit[f].sum(axis=2)
@@ -180,8 +257,8 @@ class Field:
                 for i in range(n):
                     p = np.exp(alpha[i] + beta[i] - z[:, None])
                     d = (np.eye(3)[t[:, i]] - p) / total
-                    for j in range(k):
-                        np.add.at(de, f[:, i, j], d)
+                    for tag in range(3):
+                        de[:, tag] += np.bincount(f[:, i].ravel(), np.repeat(d[:, tag], k), FEATURES)
                     if i == 0:
                         dm[3, :3] += d.sum(axis=0)
                     if i == n - 1:
@@ -198,32 +275,84 @@ class Field:
         return cls(emit, move)
 
     def viterbi(self, features: list[list[int]]) -> list[int]:
-        score = self.emit[np.array(features)].sum(axis=1)
-        best, back = self.move[3, :3] + score[0], []
-        for s in score[1:]:
-            step = best[:, None] + self.move[:3, :3]
-            back.append(step.argmax(axis=0))
-            best = step.max(axis=0) + s
-        tags = [int((best + self.move[:3, 3]).argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+        return self._best(self._scores(np.array(features)).tolist(), 3, 3)
+
+    def _scores(self, rows: np.ndarray) -> np.ndarray:
+        return sum(self.emit.take(rows[:, j], axis=0) for j in range(rows.shape[1]))
+
+    def _best(self, scores: list[list[float]], left: int, right: int | None) -> list[int]:
+        """The best tags between two neighbours (3: an end of the text); while the right one is
+        not known, those that are the same for whatever follows."""
+        move = self.move.tolist()
+        best, back = [move[left][t] + scores[0][t] for t in range(3)], []
+        for s in scores[1:]:
+            steps = [[best[p] + move[p][t] for p in range(3)] for t in range(3)]
+            best = [max(x) for x in steps]
+            back.append([x.index(m) for x, m in zip(steps, best, strict=True)])
+            best = [m + e for m, e in zip(best, s, strict=True)]
+        ways = {0, 1, 2} if right is None else {max(range(3), key=lambda t: best[t] + move[t][right])}
+        tags = []
+        for b in [*reversed(back), None]:
+            if len(ways) == 1:
+                tags += ways
+            ways = ways if b is None else {b[t] for t in ways}
         return tags[::-1]
 
+    def _tagged(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, tag) of the tokens on the best path over all tokens of the text that are
+        not O; (start, start, 0) where O stands between them."""
+        m = self.move
+        around = m[:, :3, None] + m[None, :3, :]  # from, tag, to
+        reach = max(0.0, float((around[:, 1:] - around[:, :1]).max())) + 1e-6
+        held, left, most = [], 3, PENDING  # the open piece, the tag before it
+
+        def settle(right: int | None) -> Iterator[tuple[int, int, int]]:
+            nonlocal left
+            tags = self._best([x[2] for x in held], left, right)
+            for (a, b, _), tag in zip(held, tags, strict=False):
+                yield (a, b, tag) if tag else (a, a, 0)
+            del held[: len(tags)]
+            left = tags[-1] if tags else left
+
+        for starts, ends, rows in _blocks(text, _file(text)):
+            scores = self._scores(rows)
+            free = np.flatnonzero(scores[:, 0] - scores[:, 1:].max(axis=1) <= reach)
+            last = -1
+            for i, a, b, s in zip(free.tolist(), starts[free].tolist(), ends[free].tolist(), scores[free].tolist(), strict=True):
+                if i > last + 1:
+                    if held:
+                        yield from settle(0)
+                    yield a, a, 0
+                    left = 0
+                held.append((a, b, s))
+                last = i
+                if len(held) >= most:
+                    yield from settle(None)
+                    most = max(PENDING, 2 * len(held))
+            if last + 1 < len(starts):
+                if held:
+                    yield from settle(0)
+                yield int(starts[-1]), int(starts[-1]), 0
+                left = 0
+        if held:
+            yield from settle(3)
+
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Secrets by the field that no base span touches."""
-        out, file = [], None
-        for run in chains(text):
-            if all(any(s[0] < b and a < s[2] for s in base) for a, b in run):
-                continue
-            file = _file(text) if file is None else file
-            open_at = None
-            for (a, b), tag in zip(run, self.viterbi([_features(text, a, b, file) for a, b in run]), strict=True):
-                if tag == 2 and open_at is not None:
-                    out[-1] = (open_at, 3, b)
-                elif tag:
-                    out.append((a, 3, b))
-                open_at = out[-1][0] if tag else None
-        return [x for x in out if not any(s[0] < x[2] and x[0] < s[2] for s in base)]
+        out, before = [], 0
+        for a, b, tag in self._tagged(text):
+            if tag == 2 and before:
+                out[-1] = (out[-1][0], 3, b)
+            elif tag:
+                out.append((a, 3, b))
+            before = tag
+        kept, n, reach = [], 0, -1
+        for x in out:
+            while n < len(base) and base[n][0] < x[2]:
+                reach, n = max(reach, base[n][2]), n + 1
+            if reach <= x[0]:
+                kept.append(x)
+        return kept
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -238,7 +367,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, limit: int = CHAINS) -> Field:
     n = texts.count()
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(10)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = texts.where(place < min(1.0, sample / max(1, n))).select("doc_id", "text")
-    schema = "kind int, place long, features array<int>, tags array<int>"
+    schema = "kind int, like int, place long, features array<int>, tags array<int>"
     counted = {r["kind"]: r["n"] for r in rows.mapInArrow(_train_rows(), schema).groupBy("kind").agg(F.sum("place").alias("n")).collect()}
     counts = [counted.get(k, 0) for k in range(STRATA)]
     keep = _room(counts, limit)
@@ -246,11 +375,11 @@ def train(texts: DataFrame, sample: int = SAMPLE, limit: int = CHAINS) -> Field:
     rates = [0.0 if not c else 1.0 if r == c else (r + 5 * r**0.5 + 5) / c for r, c in zip(keep, counts, strict=True)]
     got: list[list] = [[] for _ in counts]
     for r in rows.mapInArrow(_train_rows(rates), schema).collect():
-        got[r["kind"]].append((r["place"], list(r["features"]), list(r["tags"])))
+        got[r["kind"]].append((r["place"], list(r["features"]), list(r["tags"]), r["like"]))
     got = [sorted(x)[:r] for x, r in zip(got, keep, strict=True)]
     share = [len(x) / max(1, c) for x, c in zip(got, counts, strict=True)]
-    lean = float(np.log(share[0] / share[1])) if min(share) > 0 else 0.0
-    return Field.fit([(f, t) for x in got for _, f, t in x], lean=[lean] * sum(map(len, got)))
+    lean = [float(np.log(share[0] / share[like])) if share[0] and share[like] else 0.0 for x in got for *_, like in x]
+    return Field.fit([(f, t) for x in got for _, f, t, _ in x], lean=lean)
 
 
 def _scan(field: Field) -> Callable:

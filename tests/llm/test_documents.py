@@ -220,6 +220,42 @@ def test_field_keeps_clean_chains_when_secrets_fill_the_bound(spark):
     assert secret_scan._room([300, 300], 60) == [30, 30] and secret_scan._room([5, 300], 60) == [5, 55]
 
 
+def test_field_reads_all_tokens(spark):
+    rnd = random.Random(4)
+    name = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    names = ["password", "secret", "token", "api_key", "passwd", "my_secret", "db.token", "old-password"]
+    texts = [f'some {name(4)} of {name(5)} has {names[i % 8]}: "{name(18)}" and {name(6)} {name(3)} {name(11)}' for i in range(400)]
+    texts += [f"the key {name(3)} with {name(6)} says {name(18)} and {name(6)} or {rnd.randrange(10**9)} {name(7)}" for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    field = secret_scan.train(docs)
+    text = 'some door of house key has passphrase: "correcthorsebatterys" and left'
+    at = text.index("correct")
+    assert field.spans(text, secret_scan.base_spans(text)) == [(at, 3, at + 20)]
+    assert field.spans("the key was with others says correcthorsebattery and left", []) == []
+
+
+def test_field_decodes_blocks_and_pieces_as_the_whole(monkeypatch):
+    import numpy as np
+
+    rng, rnd = np.random.default_rng(3), random.Random(3)
+    words = ["a", "key", "=", "==", "x1", "12345678", "p", "ssw0rd", "Ab=", "9f" * 20, "the"]
+    for n in range(40):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", "@", ': "', "é ", "\n\n"]) for _ in range(300))
+        field = secret_scan.Field(rng.normal(size=(secret_scan.FEATURES, 3)), rng.normal(size=(4, 4)))
+        field.emit[:, 0] += n % 4 / 8
+        tokens = [m.span() for m in secret_scan._WORD.finditer(text)]
+        whole = np.concatenate([rows for _, _, rows in secret_scan._blocks(text, 0)])
+        with monkeypatch.context() as small:
+            small.setattr(secret_scan, "BLOCK", 23)
+            small.setattr(secret_scan, "PENDING", 5)
+            small.setattr(secret_scan, "_file", lambda t: 0)
+            parts = list(secret_scan._blocks(text, 0))
+            assert [x for a, b, _ in parts for x in zip(a.tolist(), b.tolist(), strict=True)] == tokens
+            assert (np.concatenate([rows for _, _, rows in parts]) == whole).all()
+            got = {a: t for a, _, t in field._tagged(text) if t}
+        assert got == {a: t for (a, _), t in zip(tokens, field.viterbi(whole.tolist()), strict=True) if t}
+
+
 def test_mixing(spark, docs, rows):
     out = source_mixing.replicate(docs, total=4 * len(rows)).collect()
     assert abs(len(out) - 4 * len(rows)) < 8 * len(rows) ** 0.5
