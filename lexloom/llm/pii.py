@@ -5,8 +5,8 @@ lexical pattern, as is one word that ends like a label (`:`, `=`, `#`). Patterns
 identifier-like tokens (instances) they precede form a graph: a pattern scores the share of all
 words that ever follow it in the corpus which are believed instances; an instance that is no
 seed scores the noisy-or of its patterns; both are iterated. Tokens of instances that score high
-are reported besides the base. What a base kind's check has failed counts against patterns and is
-never reported.
+are reported besides the base. What could have been of a base kind and failed its check counts
+against patterns and is not reported where it stands.
 
 Positions come from splitting a text at a pattern's matches and adding up lengths, so they are
 code points, and no text is searched twice from its start.
@@ -39,6 +39,9 @@ VALID = {
     f"aggregate(transform(filter(split(reverse({_DIGITS}), ''), d -> d <> ''), (d, i) -> int(d) * (1 + i % 2) - if(i % 2 = 1 and int(d) > 4, 9, 0)), 0, (a, d) -> a + d) % 10 = 0",
     "phone": f"length({_DIGITS}) between 10 and 15",
 }
+#: Matches of a kind that its check can fail though they have the form of one. Each satisfies
+#: NEEDED by itself, so they are the same whatever else the text holds.
+FORM = {"ip": "true", "card": f"length({_DIGITS}) between 14 and 19"}
 #: Tokens that can be identifiers: a digit inside, this many characters and digits.
 TOKEN, TOKEN_LENGTH, TOKEN_DIGITS = r"(?<!\S)[^\s0-9]*+[0-9]\S*+", 6, 3
 #: Rounds of scoring; distinct seeds a pattern needs; scores from which tokens are reported.
@@ -64,10 +67,10 @@ def _matches(pattern: str, needed: str, valid: str) -> Column:
 
 def base_matches(texts: DataFrame) -> DataFrame:
     """texts (with a column text) plus one array of valid spans (s, e, h, c) per base kind, and
-    `failed`, the spans that a check dropped and that look like an entity."""
+    `failed`, the spans that a check dropped and that have the form of an entity."""
     for kind in KINDS[:4]:
         texts = texts.withColumn(f"all_{kind}", _matches(PATTERNS[kind], NEEDED[kind], VALID[kind]))
-    failed = F.concat(*(F.expr(f"filter(all_{k}, x -> not x.ok and length(x.h) >= 7)") for k in KINDS[:4]))
+    failed = F.concat(*(F.expr(f"filter(all_{k}, x -> not x.ok and {form})") for k, form in FORM.items()))
     texts = texts.withColumn("failed", failed)
     for kind in KINDS[:4]:
         texts = texts.withColumn(kind, F.expr(f"filter(all_{kind}, x -> x.ok)")).drop(f"all_{kind}")
@@ -112,17 +115,14 @@ def _bootstrap(found: DataFrame, texts: DataFrame) -> DataFrame:
     if not good.take(1):
         return held.where("false").select("uid", "s", "e", F.col("i").alias("h"))
     graph = graph.join(_background(texts, good), "pattern").checkpoint()
-    # what failed a check somewhere is never believed
-    failed = found.select(F.explode("failed").alias("x")).select(F.lower("x.h").alias("i")).distinct().withColumn("no", F.lit(True))
-    scores = graph.groupBy("i").agg(F.max("seed").alias("seed")).join(failed, "i", "left")
-    scores = scores.select("i", "seed", F.coalesce("no", F.lit(False)).alias("no"), F.col("seed").cast("double").alias("score")).checkpoint()
+    scores = graph.groupBy("i").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")).checkpoint()
     for _ in range(ROUNDS):
         believed = graph.select("pattern", "i", "n", "total").join(scores, "i")
         of = believed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + PRIOR)).alias("confidence"))
         of = of.withColumn("confidence", F.least(F.col("confidence"), F.lit(0.999)))
         # a pattern of low confidence lends none
         lent = graph.select("pattern", "i").join(of.where(F.col("confidence") >= CONFIDENT), "pattern").groupBy("i").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("lent"))
-        scores = scores.join(lent, "i", "left").select("i", "seed", "no", F.when(F.col("seed"), 1.0).when(F.col("no"), 0.0).otherwise(F.coalesce("lent", F.lit(0.0))).alias("score")).checkpoint()
+        scores = scores.join(lent, "i", "left").select("i", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lent", F.lit(0.0))).alias("score")).checkpoint()
     new = scores.where((~F.col("seed")) & (F.col("score") >= CONFIDENT)).select("i")
     return held.where("not seed").join(new, "i").select("uid", "s", "e", F.col("i").alias("h"))
 

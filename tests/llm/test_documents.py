@@ -171,6 +171,16 @@ def test_pii_discovers_by_context(spark):
     assert got[12] == f"context:22:{22 + len('QX-7741-88-K')}" and got[13] == ""
 
 
+def test_pii_discovers_beside_long_numbers(spark):
+    texts = [f"write to customer id: user{i}@mail.example.com today" for i in range(30)]
+    texts += ["ref 12345678901234 so write to customer id: QX-7741-88-K today", "write to customer id: 123-45-6789 today", "x 123-45-6789 then 12345678901234", "write to customer id: 12345678901234 today"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    at = texts[30].index("QX")
+    assert (got[30], got[31]) == (f"context:{at}:{at + 12}", "context:22:33")
+    assert got[32] == got[33] == ""  # no pattern; in the form of a card, but none
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a x@y.zz b +14155550100", 0, "t"), (2, None, 0, None), (2, "clean", 5, "u")], "doc_id long, text string, n_chars long, every string")
     got = sorted((r["text"] or "", r["n_chars"]) for r in pii.redact(docs).collect())
