@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -48,7 +50,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+#: Where the tables lie that stored() returned.
+_PATHS: dict[int, str] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() returned and that nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(id(df), None):
+            _delete(df.sparkSession, path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session hold at most so many rows. Rows are whole texts of some
+    KB, so that a batch of the usual 10,000 holds tens of MB in the JVM and again in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,22 +108,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: (id, component), component
     being the smallest id reachable; ids without an edge do not occur.
 
-    Alternates large-star and small-star steps, each a min aggregate with map-side combine and
-    a join, so a hot node never gathers its neighbours in one task. Every round is
-    checkpointed in the shared folder. Converges in O(log^2 n) rounds.
+    Alternates large-star and small-star steps: a min aggregate with map-side combine, whose
+    result is checkpointed, then a join with it. Both sides of the join are plain shuffles, so
+    that adaptive execution splits the edges of a hub over several tasks. Every round is
+    checkpointed in the shared folder. Converges in O(log^2 n) rounds; `rounds` is far above
+    what any number of longs needs and only stops a fault from running for ever.
     """
     shared_dir(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = None
     for _ in range(rounds):
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")).checkpoint()
+        e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().checkpoint()
+        low = e.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         e = (
             e.join(low, "a")
             .select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))

@@ -1,24 +1,32 @@
-"""N-gram Jaccard join by count vectors and an R-tree.
-
-A document's set is its distinct k-word shingles. Shingles are hashed into groups. The set is
-indexed by what its groups hold:
-
-1. Routing. Two sets with similarity >= t differ in at most D shingles, D known from their
-   sizes. With more than D groups some group must hold exactly the same shingles, so sets are
-   dealt by (size interval, group, group content). Sizes fall into intervals that overlap,
-   so that any two linkable sets share one.
-2. Linking. Per bucket every set is proposed to one pivot (not to all others); proposals are
-   bounded by the summed coordinate minima of the group-count vectors and then verified on the
-   whole sets. Components follow.
-3. Rest. A bucket whose sets are now in several components still may hide a link. The members
-   of such buckets are gathered by a bucket's smallest member, and their count vectors packed
-   into R-trees (blocks of bounded size), which are searched by
-   members of the other components; pairs whose summed minima reach the needed overlap are
-   verified, and components are completed. So no link between different sets is lost.
-
-Hot groups: equal sets are one set id and meet in map-side combining; a bucket sends at most
-one row per map buffer; a large bucket's R-tree is cut into blocks; a pivot's proposals are
-salted. Memory per task: a buffer of pairs, one block, or two sets.
+"""N-gram Jaccard join by count vectors and R-trees.
+
+A document's set is its distinct k-word shingles. Shingles are hashed into groups; a set is a
+point whose coordinates count what its groups hold. The overlap of two sets is at most the summed
+minima of their coordinates. Points are searched in R-trees by that bound, and pairs that
+survive are verified on the whole sets:
+
+1. Dealing. One tree over all points serves no cluster: with many dimensions its upper nodes
+   reach every probe. So sets are first dealt to gatherings in which all links are found. Two
+   sets with similarity >= t differ in at most D shingles, D known from their sizes. With more
+   than D groups some group must hold exactly the same shingles, so sets that can link share a
+   bucket (size interval, group, group content). Sizes fall into intervals that overlap. All
+   sets of a bucket come to its pivot, its smallest set id; a pivot of many buckets has one
+   gathering.
+2. Gatherings. The points of a gathering are packed into an R-tree that every one of them
+   searches; what passes the bound and is not joined already is verified. A large gathering is
+   cut into pieces of bounded size, each with the pivot. Components follow.
+3. Rest. Where a gathering was cut and its sets are now in several components, links between
+   pieces may be left. Its points are packed into R-trees (blocks of bounded size), which are
+   searched by blocks of its points outside its largest component; sets with a point that
+   passes the bound are verified in the block, and components are completed.
+
+All sets of a bucket meet in one gathering and all sets of a gathering are compared unless links
+join them already, so no link between different sets is lost.
+
+Hot groups: equal sets are one node; a bucket is read as a stream that holds its pivot only;
+pieces, blocks and blocks of probes are bounded, and a large gathering's pieces are dealt to many
+tasks; tasks return forests of links, not pairs. Memory per task: a buffer of pairs, a piece, or
+two blocks.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import components, mix, slices, stored, string_bytes
+from lexloom.llm.common import components, mix, release, slices, small_batches, stored, string_bytes
 
 #: Bytes 0x09-0x0D and 0x20 separate words.
 _SEPARATOR = np.zeros(256, bool)
@@ -43,8 +51,13 @@ _VALUE = np.arange(1, 257, dtype=np.uint64)
 _VALUE[65:91] += np.uint64(32)
 _VALUE[_SEPARATOR] = 0
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Coordinates of a count vector; set ids buffered before combining; members in an R-tree.
-COORDINATES, BUFFER, BLOCK, FANOUT = 256, 1 << 20, 2048, 16
+#: Coordinates of a count vector; pairs buffered before combining; members of a block of the rest,
+#: children of a node.
+COORDINATES, BUFFER, BLOCK, FANOUT = 256, 1 << 18, 2048, 16
+#: Sets and shingles of a piece of a gathering; sets of a pivot that go to one task.
+PIECE, PIECE_SHINGLES, TOGETHER = 512, 1 << 19, 2048
+#: Shingles of a block of the rest.
+BLOCK_SHINGLES = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -195,15 +208,10 @@ def _describe(k: int) -> Callable:
 _PAIR = np.dtype([("key", np.uint64), ("sid", np.int64)])
 
 
-def _combine(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, sid) pairs -> one pair per key with its smallest sid, and proposals sid -> it."""
-    order = np.lexsort((pairs["sid"], pairs["key"]))
-    pairs = pairs[order]
-    new = np.append(True, pairs["key"][1:] != pairs["key"][:-1])
-    pivot = pairs["sid"][new][np.cumsum(new) - 1]
-    other = pairs["sid"] != pivot
-    links = np.unique(np.stack([pairs["sid"][other], pivot[other]], 1), axis=0)
-    return pairs[new], links
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """Different pairs, sorted by key, then sid."""
+    pairs = pairs[np.lexsort((pairs["sid"], pairs["key"]))]
+    return pairs[np.append(True, (pairs["key"][1:] != pairs["key"][:-1]) | (pairs["sid"][1:] != pairs["sid"][:-1]))] if len(pairs) else pairs
 
 
 def _ship(pairs: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
@@ -223,27 +231,14 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out
 
 
-def _links_batch(links: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
-
-
 def _key_pairs(k: int, num: int, den: int, ranges: int) -> Callable:
-    """Texts -> (part, packed pairs); part -1 holds proposals already found in this buffer."""
-
-    def flush(held: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-        if held:
-            pairs, links = _combine(np.concatenate(held))
-            yield from _ship(pairs, ranges)
-            if len(links):
-                yield -1, links.tobytes()
-
-    def batched(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        parts, blobs = [], []
-        for part, blob in rows:
-            parts.append(part)
-            blobs.append(blob)
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+    """Texts -> (part, packed pairs)."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate(held)
+        held.clear()
+        parts, blobs = zip(*_ship(_distinct(pairs), ranges), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, held, n = Intervals(num, den), [], 0
@@ -253,84 +248,69 @@ def _key_pairs(k: int, num: int, den: int, ranges: int) -> Callable:
                     if not len(s):
                         continue
                     keys = routing_keys(s, bands)
-                    if not len(keys):
-                        continue
                     pairs = np.empty(len(keys), _PAIR)
                     pairs["key"] = keys
                     pairs["sid"] = int.from_bytes(_digest(s)[:8], "little", signed=True)
                     held.append(pairs)
                     n += len(keys)
                     if n >= BUFFER:
-                        yield from batched(flush(held))
-                        held, n = [], 0
-        yield from batched(flush(held))
+                        yield from flush(held)
+                        n = 0
+        if n:
+            yield from flush(held)
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed pairs sorted by part -> proposals. Per part only one sid a key is held on to."""
-    part, held, n = None, [], 0
-    for batch in batches:
-        for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
-            blob = blob.as_py()
-            if p == -1:
-                yield _links_batch(np.frombuffer(blob, np.int64).reshape(-1, 2))
-                continue
-            if p != part or n >= BUFFER:
-                if held:
-                    kept, links = _combine(np.concatenate(held))
-                    if len(links):
-                        yield _links_batch(links)
-                    held, n = ([kept], len(kept)) if p == part else ([], 0)
-                if p == part and n >= BUFFER // 2:
-                    n = BUFFER // 2  # a part with that many keys combines each time half a buffer is added
-                part = p
-            held.append(_unpack(blob))
-            n += len(blob) // 12
-    if held:
-        links = _combine(np.concatenate(held))[1]
-        if len(links):
-            yield _links_batch(links)
-
-
-# -- verification --------------------------------------------------------------------------
+class _Pivots:
+    """Pivots of the keys met so far: the smallest set id of the first buffer that held the key."""
 
+    def __init__(self) -> None:
+        self.keys, self.sids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-def _verify(k: int, num: int, den: int) -> Callable:
-    """Rows sorted by (b, salt, pivot first): the pivot's text, then the texts proposed to it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pivot, vector = None, None, None
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                a, b, salt = (batch.column(c).to_pylist() for c in ("a", "b", "salt"))
-                kept, ok = [], []
-                for i, s in enumerate(shingle_sets(batch.column("text"), k)):
-                    if a[i] == b[i]:
-                        now, pivot, vector = (b[i], salt[i]), s, count_vector(s)
-                        continue
-                    assert now == (b[i], salt[i]), "a pivot's text is missing"
-                    least = needed(len(s), len(pivot), num, den)
-                    fits = int(np.minimum(vector, count_vector(s)).sum()) >= least
-                    kept.append(i)
-                    ok.append(fits and len(np.intersect1d(s, pivot, assume_unique=True)) >= least)
-                if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
-
-    return run
+    def links(self, pairs: np.ndarray) -> np.ndarray:
+        """The different (sid, pivot) of pairs, which are sorted."""
+        first = np.flatnonzero(np.append(True, pairs["key"][1:] != pairs["key"][:-1]))
+        keys, sids = pairs["key"][first], pairs["sid"][first].copy()
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            sids[known] = self.sids[at[known]]
+            all_keys, all_sids = np.concatenate([self.keys, keys[~known]]), np.concatenate([self.sids, sids[~known]])
+            order = np.argsort(all_keys)
+            self.keys, self.sids = all_keys[order], all_sids[order]
+        else:
+            self.keys, self.sids = keys, sids
+        pivot = np.repeat(sids, np.diff(np.append(first, len(pairs))))
+        other = pairs["sid"] != pivot
+        links = np.empty(int(other.sum()), _PAIR)
+        links["key"], links["sid"] = pairs["sid"][other].view(np.uint64), pivot[other]
+        return _distinct(links)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, salts: int = 16) -> DataFrame:
-    """Each pair (a, b) of ids with whether it links, read off the whole texts (doc_id, text).
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed pairs sorted by part -> (a, b), a being dealt to pivot b. Of a part only one sid a
+    key is held on to."""
+    part, held, n, pivots = None, [], 0, _Pivots()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal n
+        links = pivots.links(_distinct(np.concatenate(held)))
+        held.clear()
+        n = 0
+        if len(links):
+            yield pa.RecordBatch.from_arrays([pa.array(links["key"].view(np.int64)), pa.array(links["sid"])], ["a", "b"])
 
-    Texts travel once to each pivot b they are proposed to; pivots are salted."""
-    dealt = pairs.where("a <> b").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-    wanted = dealt.union(dealt.select(F.col("b").alias("a"), "b", "salt").distinct())
-    # texts are joined alike at every size: a side that grows with the input is not broadcast
-    rows = texts.select(F.col("doc_id").alias("a"), "text").join(wanted.hint("merge"), "a")
-    rows = rows.select("b", "salt", "a", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
-    return rows.mapInArrow(_verify(k, num, den), "a long, b long, linked boolean")
+    for batch in batches:
+        for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+            if held and (p != part or n >= BUFFER):
+                yield from flush()
+            if p != part:
+                part, pivots = p, _Pivots()
+            held.append(_unpack(blob.as_py()))
+            n += len(held[-1])
+    if held:
+        yield from flush()
 
 
 # -- R-tree --------------------------------------------------------------------------------
@@ -383,68 +363,221 @@ class CountRTree:
         return self.leaves[at[np.minimum(self.points[at], probe).sum(axis=1) >= least]]
 
 
+# -- gatherings ----------------------------------------------------------------------------
+
+
+def piece_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each set the smallest index of a set of the same component: every set searches the
+    R-tree of all; what passes the bound is verified unless links found before join it."""
+    points = np.stack([count_vector(s) for s in sets]).astype(np.int32)
+    tree, root = CountRTree(points), np.arange(len(sets))
+    for i in range(1, len(sets)):
+        near = tree.search(points[i], num, den)
+        near = np.sort(near[near < i])
+        while len(near := near[root[near] != root[i]]):
+            j, near = int(near[0]), near[1:]
+            if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= needed(len(sets[i]), len(sets[j]), num, den):
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+    return root
+
+
+def _forest(ids: list[int], root: np.ndarray) -> Iterator[tuple[int, int]]:
+    """What joins each set to its component: to the first set of it that is no pivot, and that one
+    to the pivot (set 0), so that a pivot does not get a link for every set."""
+    heads: dict[int, int] = {}
+    for i in range(1, len(ids)):
+        head = heads.setdefault(int(root[i]), i)
+        if head != i:
+            yield ids[i], ids[head]
+        elif not root[i]:
+            yield ids[i], ids[0]
+
+
+_JUDGED = "a long, b long, gathering long, piece int"
+
+
+def _gather(k: int, num: int, den: int) -> Callable:
+    """Rows sorted by (b, salt, pivot first): the pivot's text, then the texts that came to it.
+    Yields links (a, b), and for each text a its gathering and the piece of it (0: the only one
+    so far; b null)."""
+
+    def settled(ids: list[int], sets: list[np.ndarray], piece: int) -> Iterator[tuple]:
+        yield from ((a, b, None, None) for a, b in _forest(ids, piece_links(sets, num, den)))
+        yield from ((a, None, ids[0], piece) for a in ids[1:])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, ids, sets, held, piece = None, [], [], 0, 0
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                a, b, salt = (batch.column(c).to_pylist() for c in ("a", "b", "salt"))
+                for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+                    same = now == (b[i], salt[i])
+                    if len(ids) > 1 and (not same or len(ids) > PIECE or held + len(s) > PIECE_SHINGLES):
+                        yield from settled(ids, sets, piece)
+                        ids, sets, held, piece = ids[:1], sets[:1], len(sets[0]), piece + 1
+                    if same:
+                        ids.append(a[i])
+                        sets.append(s)
+                        held += len(s)
+                    else:
+                        assert a[i] == b[i], "a pivot's text is missing"
+                        now, ids, sets, held, piece = (b[i], salt[i]), [a[i]], [s], len(s), min(salt[i], 1)
+        if len(ids) > 1:
+            yield from settled(ids, sets, piece)
+
+    return _batched(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["a", "b", "gathering", "piece"])
+
+
+def _batched(rows: Callable, types: list[pa.DataType], names: list[str]) -> Callable:
+    """A function of Arrow batches that yields rows, as one that yields Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        for row in rows(batches):
+            out.append(row)
+            if len(out) >= 1 << 14:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
+
+    return run
+
+
+def gathered(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Gather the pairs (a, b) of nodes by b and search each gathering; texts is (node, text).
+
+    Returns rows (a, b) that join all that the gatherings found linked, and rows (a, gathering,
+    piece): a gathering is cut if it has a piece above 0. Texts travel once to each b; a b of
+    many pairs is dealt to a task for each TOGETHER of them."""
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).alias("salts")).checkpoint()
+    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
+    wanted = dealt.union(sizes.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt")))
+    # texts are joined alike at every size: a side that grows with the input is not broadcast
+    rows = texts.select(F.col("node").alias("a"), "text").join(wanted.hint("merge"), "a")
+    rows = rows.select("b", "salt", "a", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
+    return rows.mapInArrow(_gather(k, num, den), _JUDGED)
+
+
+# -- rest ----------------------------------------------------------------------------------
+
+
+def _points(k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = list(shingle_sets(batch.column("text"), k))
+                counts = [count_vector(s).astype(np.uint16 if len(s) < 1 << 16 else np.uint32).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(counts, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["node", "text", "counts", "size"])
+
+    return run
+
+
+_BLOCK = "gathering long, block int, asked int, node long, comp long, probe boolean"
+
+
 def _search_block(num: int, den: int) -> Callable:
+    """One block of points and one of probes: those that meet one of another component within
+    the bound."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, comps = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
-        probe = table.column("probe").to_numpy(zero_copy_only=False)
+        comps, probe = table.column("comp").to_numpy(), table.column("probe").to_numpy(zero_copy_only=False)
         points = np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * COORDINATES else np.uint32).astype(np.int32) for x in table.column("counts").to_pylist()])
-        index = np.flatnonzero(~probe)
-        found = []
-        if len(index):
+        index, hit = np.flatnonzero(~probe), np.zeros(len(probe), bool)
+        if 0 < len(index) < len(probe):
             tree = CountRTree(points[index])
             for i in np.flatnonzero(probe).tolist():
-                hit = index[tree.search(points[i], num, den)]
-                hit = hit[comps[hit] != comps[i]]
-                found.append(np.stack([np.full(len(hit), ids[i]), ids[hit]], 1))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 1], pa.int64()), "b": pa.array(pairs[:, 0], pa.int64())})
+                near = index[tree.search(points[i], num, den)]
+                near = near[comps[near] != comps[i]]
+                hit[near] = True
+                hit[i] |= len(near) > 0
+        return table.drop_columns(["counts"]).filter(pa.array(hit))
 
     return run
 
 
-def _expand(k: int, num: int, den: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Intervals(num, den)
+def _link_block(k: int, num: int, den: int) -> Callable:
+    """Rows sorted by block (gathering, block, asked), points before probes: the links (a, b)
+    that join components in each block."""
+
+    def links(ids: list[int], comps: list[int], probes: int, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        if not 0 < probes < len(ids):
+            return
+        points, root = np.stack([count_vector(s) for s in sets]).astype(np.int32), np.unique(comps, return_inverse=True)[1]
+        tree = CountRTree(points[:probes])
+        for i in range(probes, len(ids)):
+            near = tree.search(points[i], num, den)
+            while len(near := near[root[near] != root[i]]):
+                j, near = int(near[0]), near[1:]
+                if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= needed(len(sets[i]), len(sets[j]), num, den):
+                    root[root == root[i]] = root[j]
+                    yield ids[i], ids[j]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        now, ids, comps, sets, probes = None, [], [], [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = list(shingle_sets(batch.column("text"), k))
-                keys = [routing_keys(s, bands).astype(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("comp"),
-                        pa.array([count_vector(s).astype(np.uint16 if len(s) < 1 << 16 else np.uint32).tobytes() for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
-                    ],
-                    ["doc_id", "comp", "counts", "keys"],
-                )
+                at = list(zip(*(batch.column(c).to_pylist() for c in ("gathering", "block", "asked")), strict=True))
+                node, comp, probe = (batch.column(c).to_pylist() for c in ("node", "comp", "probe"))
+                for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+                    if at[i] != now:
+                        yield from links(ids, comps, probes, sets)
+                        now, ids, comps, sets, probes = at[i], [], [], [], 0
+                    ids.append(node[i])
+                    comps.append(comp[i])
+                    sets.append(s)
+                    probes += not probe[i]
+        yield from links(ids, comps, probes, sets)
+
+    return _batched(rows, [pa.int64(), pa.int64()], ["a", "b"])
+
+
+def rest_links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """members (gathering, node, comp) of cut gatherings, texts (node, text): links (a, b) that
+    join components of one gathering.
+
+    A task gets one block of members and one block of probes, those outside the gathering's
+    largest component, both of bounded numbers of sets and shingles: at first their points, then
+    the texts of those that meet one of another component within the bound."""
+    by = members.groupBy("gathering", "comp").agg(F.count("*").alias("n"))
+    by = by.groupBy("gathering").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("all")).where("inner < all")
+    open_ = members.join(by.select("gathering", "main").checkpoint(), "gathering")
+    own_sets = texts.join(open_.select("node").distinct().hint("merge"), "node").mapInArrow(_points(k), "node long, text string, counts binary, size long")
+    own_sets = stored(own_sets, "jaccard-points")
+    held = stored(open_.join(own_sets.select("node", "size"), "node"), "jaccard-held")
+    room = lambda cond: F.ceil(F.greatest(F.count_if(cond) / BLOCK, F.sum(F.when(cond, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
+    # a table of its own, so that the join below can split the rows of a large gathering
+    cut = held.groupBy("gathering").agg(room(F.lit(True)).alias("blocks"), room(F.col("comp") != F.col("main")).alias("asking")).checkpoint()
+    held = held.join(cut, "gathering")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = held.select("gathering", place(F.col("blocks")).alias("block"), every("asking").alias("asked"), "node", "comp", F.lit(False).alias("probe"))
+    probes = held.where("comp <> main").select("gathering", every("blocks").alias("block"), place(F.col("asking")).alias("asked"), "node", "comp", F.lit(True).alias("probe"))
+    dealt = own.union(probes).join(own_sets.select("node", "counts"), "node")
+    near = stored(dealt.groupBy("gathering", "block", "asked").applyInArrow(_search_block(num, den), _BLOCK), "jaccard-near")
+    rows = near.join(own_sets.select("node", "text"), "node").repartition("gathering", "block", "asked").sortWithinPartitions("gathering", "block", "asked", "probe")
+    out = stored(rows.mapInArrow(_link_block(k, num, den), "a long, b long"), "jaccard-more")
+    release(own_sets, near)
+    return out
 
-    return run
 
+# -- the operator --------------------------------------------------------------------------
 
-def rest_pairs(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """members (doc_id, comp, text): pairs of different components that share a bucket and pass
-    the R-tree's bound.
 
-    Buckets of several components are gathered by their smallest member: two members of one
-    bucket are in its smallest member's gathering, and the many buckets that a family of near
-    copies shares make few gatherings, in which every pair is met once."""
-    spread = stored(members.mapInArrow(_expand(k, num, den), "doc_id long, comp long, counts binary, keys array<long>"), "jaccard-rest")
-    rows = spread.select("doc_id", "comp", F.explode("keys").alias("key"))
-    open_ = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    held = stored(rows.join(open_.select("key", "least"), "key").select("least", "doc_id", "comp").distinct(), "jaccard-gathered")
-    by = held.groupBy("least", "comp").agg(F.count("*").alias("n"))
-    by = by.groupBy("least").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    held = held.join(by, "least")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = held.select("least", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), "doc_id", "comp", F.lit(False).alias("probe"))
-    probes = held.where("comp <> main").select("least", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "doc_id", "comp", F.lit(True).alias("probe"))
-    dealt = own.union(probes).join(spread.select("doc_id", "counts"), "doc_id")
-    return dealt.groupBy("least", "block").applyInArrow(_search_block(num, den), "a long, b long").distinct()
+def _own_set(k: int) -> Callable:
+    """Rows (node, digest, text) whose text's set has the digest."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                same = [_digest(s) == d for s, d in zip(shingle_sets(batch.column("text"), k), batch.column("digest").to_pylist(), strict=True)]
+                kept = batch.filter(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("text")], ["node", "text"])
 
-# -- the operator --------------------------------------------------------------------------
+    return run
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,46 +587,65 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     input row; other columns of docs are not looked at, whatever their names. Words are
     `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. Null, empty or blank text: n_shingles 0,
     linked with nothing. Fewer words than k: one shingle, linked with equal sequences only.
-    Rows with a null id are left out; a repeated id is one node, its rows get one component.
-    No rows: no rows.
+    Rows with a null id are left out; a repeated id is one document of all its texts: its rows
+    get one component, which holds what any of its texts links with. No rows: no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     described = stored(texts.mapInArrow(_describe(k), "doc_id long, n_shingles long, digest binary, sid long"), "jaccard-sets")
+    repeated = _repeats(described)
+    # a node for each different set; its number is written with it and stays the same from here on
     reps = described.where("digest is not null").groupBy("digest", "sid").agg(F.min("doc_id").alias("rep"))
-    reps = stored(reps, "jaccard-reps")
+    reps = stored(reps.withColumn("node", F.monotonically_increasing_id()), "jaccard-reps")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = texts.mapInArrow(_key_pairs(k, num, den, max(4096, 16 * parts)), "part int, blob binary")
-    spread = F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.xxhash64("blob"))
-    met = packed.repartition(parts, spread).sortWithinPartitions("part").mapInArrow(_meet, "a long, b long")
+    met = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long")
     met = stored(met.distinct(), "jaccard-met")
-    at = lambda side: reps.select(F.col("sid").alias(side), F.col("rep").alias(f"rep_{side}"))
-    proposed = met.join(at("a"), "a").join(at("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    at = lambda side: reps.select(F.col("sid").alias(side), F.col("node").alias(f"node_{side}"))
+    proposed = met.join(at("a"), "a").join(at("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     proposed = stored(proposed.where("a <> b").distinct(), "jaccard-proposed")
 
-    wanted = proposed.select(F.col("a").alias("doc_id")).union(proposed.select("b")).distinct()
+    wanted = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct()
+    wanted = wanted.join(reps.select("node", "digest", F.col("rep").alias("doc_id")), "node")
     involved = texts.join(wanted.hint("merge"), "doc_id")
-    involved = stored(involved.dropDuplicates(["doc_id"]) if _repeats(described) else involved, "jaccard-involved")
-    judged = stored(verified(proposed, involved, k, num, den), "jaccard-judged")
-    links = judged.where("linked").select("a", "b")
+    involved = involved.select("node", "digest", "text").mapInArrow(_own_set(k), "node long, text string").dropDuplicates(["node"]) if repeated else involved.select("node", "text")
+    involved = stored(involved, "jaccard-involved")
+    judged = stored(gathered(proposed, involved, k, num, den), "jaccard-judged")
+    links = judged.where("b is not null").select("a", "b")
+    if repeated:
+        links = links.union(_same_document(described, reps))
     comps = components(links).checkpoint()
 
-    comp_of = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    cross = comp_of(comp_of(judged.where("not linked").select("a", "b"), "a"), "b").where("c_a <> c_b")
-    touched = cross.select(F.col("c_a").alias("comp")).union(cross.select("c_b")).distinct().checkpoint()
-    if touched.take(1):
-        members = comp_of(involved, "doc_id").withColumnRenamed("c_doc_id", "comp").join(touched, "comp", "left_semi")
-        more = rest_pairs(members.select("doc_id", "comp", "text"), k, num, den)
-        more = stored(more.join(judged, ["a", "b"], "left_anti"), "jaccard-more")
-        found = verified(more, involved, k, num, den).where("linked").select("a", "b").checkpoint()
-        if found.take(1):
-            comps = components(links.union(found)).checkpoint()
-
-    out = described.join(reps.select("digest", "rep"), "digest", "left")
-    out = out.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    cut = judged.where("piece > 0").select("gathering").distinct().checkpoint()
+    if cut.take(1):
+        members = judged.where("gathering is not null").join(cut, "gathering").select("gathering", F.col("a").alias("node"))
+        members = members.union(cut.select("gathering", F.col("gathering").alias("node")))
+        members = members.join(comps.withColumnRenamed("id", "node"), "node", "left").select("gathering", "node", F.coalesce("component", "node").alias("comp"))
+        more = rest_links(members, involved, k, num, den)
+        if more.take(1):
+            comps = components(links.union(more)).checkpoint()
+        release(more)
+    release(met, proposed, involved, judged)
+
+    # the smallest document of a component names it
+    labels = comps.join(reps.select(F.col("node").alias("id"), "rep"), "id")
+    labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("id").alias("node"), "component_id")
+    out = described.join(reps.select("digest", "rep", "node"), "digest", "left").join(labels, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+    if repeated:  # rows of one document without a text go with those that have one
+        first = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        out = out.drop("component_id").join(first, "doc_id").select("doc_id", "n_shingles", "component_id")
+    return out
 
 
 def _repeats(described: DataFrame) -> bool:
     return bool(described.groupBy("doc_id").count().where("count > 1").take(1))
+
+
+def _same_document(described: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of one document's several texts."""
+    nodes = described.join(reps.select("digest", "node"), "digest").select("doc_id", "node").distinct()
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("b")).checkpoint()
+    return nodes.join(first, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
