@@ -2,14 +2,16 @@
 
 Fixed patterns with checks (the base) find seed entities. The two words before a seed are a
 lexical pattern, as is one word that ends like a label (`:`, `=`, `#`). Patterns and the
-identifier-like tokens (instances) they precede form a graph: a pattern scores the share of all
+identifier-like words (instances) they precede form a graph: a pattern scores the share of all
 words that ever follow it in the corpus which are believed instances; an instance that is no
-seed scores the noisy-or of its patterns; both are iterated. Tokens of instances that score high
-are reported besides the base. What could have been of a base kind and failed its check counts
-against patterns and is not reported where it stands.
+seed scores the noisy-or of its patterns; both are iterated. Words of instances that score high
+are reported besides the base, without the punctuation around them. What could have been of a
+base kind and failed its check counts against patterns and is not reported where it stands.
 
 Positions come from splitting a text at a pattern's matches and adding up lengths, so they are
-code points, and no text is searched twice from its start.
+code points, and no text is searched twice from its start. Running sums and replacements go by
+blocks of BLOCK elements, as a long array that grows by one element at a time would be copied
+each time.
 """
 
 from __future__ import annotations
@@ -42,47 +44,88 @@ VALID = {
 #: Matches of a kind that its check can fail though they have the form of one. Each satisfies
 #: NEEDED by itself, so they are the same whatever else the text holds.
 FORM = {"ip": "true", "card": f"length({_DIGITS}) between 14 and 19"}
-#: Tokens that can be identifiers: a digit inside, this many characters and digits.
-TOKEN, TOKEN_LENGTH, TOKEN_DIGITS = r"(?<!\S)[^\s0-9]*+[0-9]\S*+", 6, 3
+#: Words with a digit or an at sign. Those that can be identifiers have this many characters and
+#: digits without the punctuation around them.
+TOKEN, TOKEN_LENGTH, TOKEN_DIGITS = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", 6, 3
+OPENING, CLOSING = "\"'(<[{", ".,;:!?)]}>\"'"
 #: Rounds of scoring; distinct seeds a pattern needs; scores from which tokens are reported.
 ROUNDS, SUPPORT, CONFIDENT, PRIOR = 3, 3, 0.7, 1.0
 #: Patterns up to this many are broadcast against the corpus's words; more are joined by shuffle.
 SMALL = 50_000
+#: Elements of a block; characters of a gap that are read first for the words at its end.
+BLOCK, TAIL = 128, 80
 
-_SPAN = "struct<s:int,e:int,h:string,c:string,ok:boolean>"
 
+def _quoted(s: str) -> str:
+    return "r'" + s.replace("'", r"\x27") + "'" if "\\" in s else "'" + s.replace("'", "\\'") + "'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body, in which name stands for the value, worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(values: str, op: str) -> str:
+    """SQL: for each of the array's ints what op (of {0} and {1}) makes of 0 and all before it."""
+    step = lambda t, x: f"concat({t}, array({op.format(f'element_at({t}, -1)', x)}))"
+    blocks = f"transform(sequence(0, greatest(size(_v) - 1, 0), {BLOCK}), i -> slice(_v, i + 1, {BLOCK}))"
+    firsts = f"aggregate(_b, array(0), (t, b) -> {step('t', f"aggregate(b, 0, (u, x) -> {op.format('u', 'x')})")})"
+    within = f"slice(aggregate(b, array(f), (t, x) -> {step('t', 'x')}), 1, size(b))"
+    return _let("_v", values, _let("_b", blocks, f"flatten(zip_with(_b, slice({firsts}, 1, size(_b)), (b, f) -> {within}))"))
 
-def _matches(pattern: str, needed: str, valid: str) -> Column:
-    """All matches as structs: start, end, match, text before it (its last 80), whether valid."""
-    p = "r'" + pattern.replace("'", r"\x27") + "'"
-    return F.expr(
-        f"""if(coalesce({needed}, false), aggregate(
-            zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, h) -> named_struct('g', length(g), 'h', h, 'c', right(g, 80))),
-            named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-            (a, x) -> if(x.h is null, a, named_struct('at', a.at + x.g + length(x.h),
-                'out', concat(a.out, array(named_struct('s', a.at + x.g, 'e', a.at + x.g + length(x.h), 'h', x.h, 'c', x.c, 'ok', {valid}))))),
-            a -> a.out), cast(array() as array<{_SPAN}>))"""
-    )
+
+def _matches(pattern: str, needed: str, keep: str, fields: str, also: str = "0") -> Column:
+    """The matches for which keep holds, as structs: start s, end e and fields. These and keep are
+    SQL over x.h, the match, and y, which is `also` over all matches x (array m) and its place i."""
+    p = _quoted(pattern)
+    found = f"filter(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, h) -> named_struct('g', g, 'h', h)), x -> x.h is not null)"
+    starts = _running("transform(m, x -> length(x.g) + length(x.h))", "{0} + {1}")
+    made = f"transform(m, (x, i) -> if({keep}, {_let('y', also, f"named_struct('s', element_at(at, i + 1) + length(x.g), 'e', element_at(at, i + 1) + length(x.g) + length(x.h), {fields})")}, null))"
+    spans = _let("m", found, _let("at", starts, f"filter({made}, x -> x is not null)"))
+    return F.expr(f"coalesce(if({needed}, {spans}, null), array())")
 
 
 def base_matches(texts: DataFrame) -> DataFrame:
-    """texts (with a column text) plus one array of valid spans (s, e, h, c) per base kind, and
+    """texts (with a column text) plus one array of valid spans (s, e) per base kind, and
     `failed`, the spans that a check dropped and that have the form of an entity."""
     for kind in KINDS[:4]:
-        texts = texts.withColumn(f"all_{kind}", _matches(PATTERNS[kind], NEEDED[kind], VALID[kind]))
-    failed = F.concat(*(F.expr(f"filter(all_{k}, x -> not x.ok and {form})") for k, form in FORM.items()))
+        keep = f"({VALID[kind]}) or ({FORM[kind]})" if kind in FORM else VALID[kind]
+        texts = texts.withColumn(f"all_{kind}", _matches(PATTERNS[kind], NEEDED[kind], keep, f"'ok', {VALID[kind]}"))
+    failed = F.concat(*(F.expr(f"transform(filter(all_{k}, x -> not x.ok), x -> named_struct('s', x.s, 'e', x.e))") for k in FORM))
     texts = texts.withColumn("failed", failed)
     for kind in KINDS[:4]:
-        texts = texts.withColumn(kind, F.expr(f"filter(all_{kind}, x -> x.ok)")).drop(f"all_{kind}")
+        texts = texts.withColumn(kind, F.expr(f"transform(filter(all_{kind}, x -> x.ok), x -> named_struct('s', x.s, 'e', x.e))")).drop(f"all_{kind}")
     return texts
 
 
-def _patterns(c: str) -> str:
-    """SQL: the patterns of a context, the text before a token."""
-    words = f"filter(split(lower({c}), r'\\s+'), w -> w <> '')"
-    two = f"if(size({words}) >= 2, array(array_join(slice({words}, -2, 2), ' ')), cast(array() as array<string>))"
-    one = f"if(element_at({words}, -1) rlike '[:=#]$', array(element_at({words}, -1)), cast(array() as array<string>))"
-    return f"if(size({words}) >= 1 and {c} rlike r'\\s$', concat({two}, {one}), cast(array() as array<string>))"
+def _words(c: str) -> str:
+    return f"filter(split(lower({c}), r'\\s+'), w -> w <> '')"
+
+
+_NO_WORDS = "cast(array() as array<string>)"
+
+
+def _last_words(gap: str) -> str:
+    """SQL: words of a gap, among them its last two; read off its tail if that holds three."""
+    tail = _words(f"right({gap}, {TAIL})")
+    return _let("t", tail, f"if(length({gap}) <= {TAIL} or size(t) > 2, t, {_words(gap)})")
+
+
+def tokens() -> Column:
+    """Words with a digit or an at sign: s, e and i, the word in lower case without punctuation
+    around it, c, the up to two words before it, and able, whether it can be an identifier."""
+    earlier = f"if(i > 1, array(lower(element_at(m, i - 1).h)), {_NO_WORDS})"
+    before = f"if(i > 0, concat({earlier}, {_last_words('element_at(m, i).g')}, array(lower(element_at(m, i).h))), {_NO_WORDS})"
+    context = _let("own", _last_words("x.g"), _let("all", f"if(size(own) > 1, own, concat({before}, own))", "if(size(all) > 2, slice(all, -2, 2), all)"))
+    bare = f"rtrim({_quoted(CLOSING)}, led)"
+    inner = _let("led", f"ltrim({_quoted(OPENING)}, x.h)", f"named_struct('skip', length(x.h) - length(led), 'h', {bare}, 'c', {context})")
+    able = f"length(y.h) >= {TOKEN_LENGTH} and length(regexp_replace(y.h, '[^0-9]', '')) >= {TOKEN_DIGITS}"
+    found = _matches(TOKEN, "text rlike '[0-9@]'", "true", f"'skip', y.skip, 'i', lower(y.h), 'n', length(y.h), 'c', y.c, 'able', {able}", inner)
+    return F.transform(found, lambda x: F.struct((x["s"] + x["skip"]).alias("s"), (x["s"] + x["skip"] + x["n"]).alias("e"), x["i"].alias("i"), x["c"].alias("c"), x["able"].alias("able")))
+
+
+#: SQL: the patterns of a token, from the words before it.
+_PATTERNS = "concat(if(size(x.c) >= 2, array(array_join(x.c, ' ')), cast(array() as array<string>)), if(size(x.c) >= 1 and element_at(x.c, -1) rlike '[:=#]$', array(element_at(x.c, -1)), cast(array() as array<string>)))"
 
 
 def _background(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -96,13 +139,29 @@ def _background(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return seen.join(known, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
+def _held(found: DataFrame) -> DataFrame:
+    """(uid, s, e, i, p, seed): tokens with a pattern at which a base span starts (seeds), or that
+    can be identifiers and meet neither a base span nor a failed one. Tokens and spans of a text
+    are met in order of their starts, so a text of many takes no pairs of them."""
+    token = f"transform(token, x -> named_struct('t', 1, 's', x.s, 'e', x.e, 'i', x.i, 'p', {_PATTERNS}, 'able', x.able))"
+    span = "transform({}, x -> named_struct('t', 0, 's', x.s, 'e', x.e, 'i', '', 'p', cast(array() as array<string>), 'able', {}))"
+    all_ = f"concat({token}, {span.format('concat(email, ip, card, phone)', 'true')}, {span.format('failed', 'false')})"
+    rows = found.where("size(token) > 0").select("uid", F.explode(F.expr(all_)).alias("x")).select("uid", "x.*")
+    order = "over (partition by uid order by s, t)"
+    rows = rows.selectExpr(
+        "*",
+        f"max(if(t = 0, e, null)) {order} as reach",
+        f"lead(if(t = 0, s, null)) ignore nulls {order} as next",
+        f"last(if(t = 0 and able, s, null)) ignore nulls {order} as base",
+    )
+    seed = F.expr("coalesce(base = s, false)")
+    free = F.expr("able and coalesce(reach <= s, true) and coalesce(next >= e, true)")
+    return rows.where("t = 1 and size(p) > 0").withColumn("seed", seed).where(F.col("seed") | free).select("uid", "s", "e", "i", "p", "seed")
+
+
 def _bootstrap(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(uid, s, e) of tokens that high-scoring patterns bring in."""
-    free = "filter(token, t -> not exists(concat(email, ip, card, phone, failed), b -> b.s < t.e and t.s < b.e))"
-    seeds = F.expr(f"transform(concat(email, ip, card, phone), x -> named_struct('i', lower(x.h), 'p', {_patterns('x.c')}, 'seed', true, 's', x.s, 'e', x.e))")
-    others = F.expr(f"transform({free}, x -> named_struct('i', lower(x.h), 'p', {_patterns('x.c')}, 'seed', false, 's', x.s, 'e', x.e))")
-    held = found.select("uid", F.explode(F.concat(seeds, others)).alias("x")).select("uid", "x.*").where(F.size("p") > 0)
-    held = stored(held, "pii-held")
+    held = stored(_held(found), "pii-held")
     graph = held.select("i", "seed", F.explode("p").alias("pattern")).groupBy("pattern", "i").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     good = graph.where("seed").groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
     good = good.checkpoint()
@@ -113,7 +172,7 @@ def _bootstrap(found: DataFrame, texts: DataFrame) -> DataFrame:
     near = _background(texts.where("text rlike '[0-9]'"), good).join(most, "pattern")
     good = near.where(F.col("most") / (F.col("total") + PRIOR) >= CONFIDENT).select("pattern").checkpoint()
     if not good.take(1):
-        return held.where("false").select("uid", "s", "e", F.col("i").alias("h"))
+        return held.where("false").select("uid", "s", "e")
     graph = graph.join(_background(texts, good), "pattern").checkpoint()
     scores = graph.groupBy("i").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")).checkpoint()
     for _ in range(ROUNDS):
@@ -124,7 +183,7 @@ def _bootstrap(found: DataFrame, texts: DataFrame) -> DataFrame:
         lent = graph.select("pattern", "i").join(of.where(F.col("confidence") >= CONFIDENT), "pattern").groupBy("i").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("lent"))
         scores = scores.join(lent, "i", "left").select("i", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lent", F.lit(0.0))).alias("score")).checkpoint()
     new = scores.where((~F.col("seed")) & (F.col("score") >= CONFIDENT)).select("i")
-    return held.where("not seed").join(new, "i").select("uid", "s", "e", F.col("i").alias("h"))
+    return held.where("not seed").join(new, "i").select("uid", "s", "e")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -136,8 +195,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     no rows. Columns of docs besides the two and `keep` are not looked at."""
     shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
-    token = _matches(TOKEN, "text rlike '[0-9]'", f"length(x.h) >= {TOKEN_LENGTH} and length({_DIGITS}) >= {TOKEN_DIGITS}")
-    found = base_matches(rows).withColumn("token", token).withColumn("token", F.expr("filter(token, x -> x.ok)"))
+    found = base_matches(rows).withColumn("token", tokens())
     # the uid is written with its row, so it stays the same from here on
     found = stored(found.drop("text").withColumn("uid", F.monotonically_increasing_id()), "pii-found")
     new = _bootstrap(found, rows.select("text"))
@@ -160,11 +218,14 @@ def redact(docs: DataFrame) -> DataFrame:
     # spans travel with the row: find() keeps its columns
     found = find(kept.withColumn("__id", F.lit(None).cast("long")), "__id", "__text", tuple(f"__{i}" for i in range(len(columns))))
     at = f"__{columns.index('text')}"
-    clean = F.expr(
-        f"""if(size(every) = 0, {at}, aggregate(every, named_struct('at', 0, 'out', ''),
-            (a, x) -> if(x.e <= a.at, a, named_struct('at', x.e, 'out', concat(a.out, substring({at}, a.at + 1, greatest(x.s - a.at, 0)), element_at(array({names}), x.k + 1)))),
-            a -> concat(a.out, substring({at}, a.at + 1))))"""
-    )
+    # spans that reach beyond all before them, with that reach r: what lies between is kept
+    reach = _running("transform(every, x -> x.e)", "greatest({0}, {1})")
+    spans = f"filter(zip_with(every, {reach}, (x, r) -> named_struct('r', r, 's', x.s, 'k', x.k, 'e', x.e)), x -> x.e > x.r)"
+    blocks = f"transform(sequence(0, size(k) - 1, {BLOCK}), i -> slice(k, i + 1, {BLOCK}))"
+    piece = f"concat(substring(t, x.r - element_at(b, 1).r + 1, greatest(x.s - x.r, 0)), element_at(array({names}), x.k + 1))"
+    cut = f"substring({at}, element_at(b, 1).r + 1, element_at(b, -1).e - element_at(b, 1).r)"
+    joined = f"array_join(transform({blocks}, b -> {_let('t', cut, f"array_join(transform(b, x -> {piece}), '')")}), '')"
+    clean = F.expr(f"if(size(every) = 0, {at}, {_let('k', spans, f'concat({joined}, substring({at}, element_at(k, -1).e + 1))')})")
     found = found.withColumn(at, clean)
     if "n_chars" in columns:
         found = found.withColumn(f"__{columns.index('n_chars')}", F.length(at).cast("long"))
