@@ -24,6 +24,10 @@ from lexloom.llm.common import stored
 PIVOTS, ANNULI, TILE, BLOCK = 16, 64, 8192, 2048
 
 
+#: The smallest long.
+_LEAST = -(1 << 63)
+
+
 class Directory:
     """Tiles (pivot, smallest and largest distance, number of rows), built from annulus counts."""
 
@@ -113,7 +117,9 @@ def _visits(directory: Directory, k: int, first: bool) -> Callable:
             if not first:
                 worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(np.float64)  # NaN: fewer than k so far
                 norms = (x.astype(np.float64) ** 2).sum(axis=1)
-                reach = np.sqrt(np.maximum(norms + directory.top**2 - 2 * worst, 0)) * (1 + 1e-9) + 1e-6
+                # a difference of squares loses half the digits of the larger
+                slack = 1e-6 * (np.sqrt(norms) + directory.top) + 1e-6
+                reach = np.sqrt(np.maximum(norms + directory.top**2 - 2 * worst, 0)) + slack
                 seen = ~seen & ~(low > np.where(np.isnan(worst), np.inf, reach)[:, None])
             row, tile = np.nonzero(seen)
             if len(row):
@@ -132,7 +138,7 @@ def _best(k: int) -> Callable:
         x = _matrix(table.column("x"), np.int64)
         queries, rows = np.flatnonzero(asks), np.flatnonzero(~asks)
         rows = rows[np.argsort(ids[rows], kind="stable")]
-        big = x.shape[1] * float(np.abs(x).max(initial=0)) ** 2
+        big = x.shape[1] * float(np.abs(x.astype(np.float64)).max(initial=0)) ** 2
         kind = np.float32 if big < 1 << 24 else np.float64 if big < 1 << 53 else object
         right = x[rows].astype(kind).T
         out: list[list[np.ndarray]] = [[], [], []]
@@ -150,7 +156,8 @@ def _best(k: int) -> Callable:
             else:
                 keep = np.ones_like(score, bool)
             q, r = np.nonzero(keep & (score > -np.inf))
-            for to, v in zip(out, (ids[part[q]], ids[rows[r]], score[q, r]), strict=True):
+            value = score[q, r] if kind is not object else np.array([min(max(int(v), _LEAST), -_LEAST - 1) for v in score[q, r]], np.int64)
+            for to, v in zip(out, (ids[part[q]], ids[rows[r]], value), strict=True):
                 to.append(v)
         columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table({n: pa.array(c.astype(np.int64), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
@@ -159,10 +166,11 @@ def _best(k: int) -> Callable:
 
 
 def _probe(index: DataFrame, visits: DataFrame, k: int, blocks: int) -> DataFrame:
-    side = lambda df, asks, block: df.select("tile", block.alias("block"), "vec_id", "x", F.lit(asks).alias("asks"))
-    asked = side(visits, True, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    rows = side(index, False, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
-    return asked.union(rows).groupBy("tile", "block").applyInArrow(_best(k), "query_id long, vec_id long, score long")
+    """Tiles meet the blocks of queries that visit them, and no others."""
+    asked = visits.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    rows = index.join(asked.select("tile", "block").distinct(), "tile")
+    side = lambda df, asks: df.select("tile", "block", "vec_id", "x", F.lit(asks).alias("asks"))
+    return side(asked, True).union(side(rows, False)).groupBy("tile", "block").applyInArrow(_best(k), "query_id long, vec_id long, score long")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -177,13 +185,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tile: int = TILE
     rows, ties to the smaller vec_id; all, if there are fewer.
 
     vectors and queries: (vec_id long, x array<long> of one length, not null). Ids are distinct;
-    a repeated id is a candidate row of its own, but no row is a candidate of its own id."""
+    a repeated id is a candidate row of its own, but no row is a candidate of its own id. A
+    repeated query is one query. Scores beyond the range of longs become its ends."""
     rows, asked = stored(vectors.select("vec_id", "x"), "search-rows"), stored(queries.select("vec_id", "x"), "search-queries")
-    norm2 = F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b * b)
+    norm2 = F.aggregate("x", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double"))
     facts = rows.select(norm2.alias("n")).agg(F.count("*"), F.max("n")).first()
     if not facts[0]:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    top = float(np.sqrt(float(facts[1])))
+    top = float(np.sqrt(facts[1])) * (1 + 1e-9)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
     pivots = np.unique(np.array([r["x"] for r in sample], np.float64), axis=0)
     placed = rows.mapInArrow(_assign(None, pivots, top), "pivot int, annulus int, near double")
