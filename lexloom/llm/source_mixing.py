@@ -41,26 +41,39 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     return out.select("source", "parts", F.expr(cdf).alias("cdf"))
 
 
+def own_names(columns: list[str]) -> tuple[str, str]:
+    """Names of the two columns that are added: `copy` and `shuffle_key`, with as many underscores
+    before them as it takes to differ from all columns."""
+    there, out = {c.lower() for c in columns}, []
+    for name in ("copy", "shuffle_key"):
+        while name in there:
+            name = f"_{name}"
+        out.append(name)
+    return out[0], out[1]
+
+
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, power: float = 0.5, seed: int = 9) -> DataFrame:
-    """All columns of docs (doc_id and source among them), `copy` from 1 and `shuffle_key`; each
-    row as often as its source's rate and its hash say.
+    """All columns of docs (doc_id and source among them), `copy` from 1 and `shuffle_key` (see
+    own_names for columns of such a name); each row as often as its source's rate and its hash say.
 
     Rows with equal doc_id draw alike. A null doc_id draws as the text `null`. Empty input:
     no rows. Null text and other columns pass through. The copies are dealt to partitions by their key's hash and
     sorted by it in each, so neither a hot source nor a hot document meets in one task."""
     shared_dir(docs.sparkSession)
+    copy, key = own_names(docs.columns)
     by = rates(docs, weights, total, power)
-    by = by.withColumnsRenamed({"source": "__source", "parts": "__parts", "cdf": "__cdf"}).checkpoint()
+    by = by.checkpoint()
     by = F.broadcast(by) if by.count() <= SMALL else by
-    name = "coalesce(cast(doc_id as string), 'null')"
-    u = f"cast(conv(substr(md5(concat({name}, ':{seed}:', j)), 1, 13), 16, 10) as double) / 4503599627370496.0D"
-    copies = f"if(__parts < 1, 0, aggregate(sequence(0, __parts - 1), 0, (a, j) -> a + aggregate(array({u}), 0, (b, v) -> size(filter(__cdf, c -> c <= v)))))"
+    # docs travel as one struct, so that no name of theirs meets one of the plan's
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("name"))
+    u = f"cast(conv(substr(md5(concat(name, ':{seed}:', j)), 1, 13), 16, 10) as double) / 4503599627370496.0D"
+    copies = f"if(parts < 1, 0, aggregate(sequence(0, parts - 1), 0, (a, j) -> a + aggregate(array({u}), 0, (b, v) -> size(filter(cdf, c -> c <= v)))))"
     # the cdf rises: the number of terms at or below v inverts it
-    out = docs.join(by, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", F.expr(copies)).where("__n > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__source", "__parts", "__cdf")
-    key = F.expr(f"conv(substr(md5(concat({name}, ':{seed}:copy:', copy)), 1, 15), 16, 10)").cast("long")
-    out = out.withColumn("shuffle_key", key)
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    out = rows.join(by, F.col("of").eqNullSafe(by["source"])).withColumn("n", F.expr(copies)).where("n > 0")
+    out = out.select("row", "name", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    out = out.withColumn("key", F.expr(f"conv(substr(md5(concat(name, ':{seed}:copy:', copy)), 1, 15), 16, 10)").cast("long"))
+    out = out.repartition("key").sortWithinPartitions("key")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("copy").alias(copy), F.col("key").alias(key))
 
 
 def oracle_sql(power: float = 0.5, seed: int = 9) -> str:
