@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import mix, slices
+from lexloom.llm.common import mix, slices, small_batches
 
 #: Base patterns: fixed values of the contract. Group 2 of an assignment is the secret.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -161,15 +161,32 @@ def _values(text: str) -> list[tuple[int, int]]:
     return sorted({*out, *((a, b) for a, k, b in base_spans(text) if k)})
 
 
-def _touched(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """For each token the first span it meets, or -1; spans are sorted."""
+def _touched(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """For each token the first span it meets, or -1; spans (start, end) are sorted by both."""
     out = np.full(len(starts), -1)
-    for n in range(len(spans) - 1, -1, -1):
+    if not len(spans) or not len(starts):
+        return out
+    # spans are disjoint or nested a little: those of the block are a run of them
+    first = np.searchsorted(np.maximum.accumulate(spans[:, 1]), starts[0], side="right")
+    last = np.searchsorted(spans[:, 0], ends[-1])
+    for n in range(int(last) - 1, int(first) - 1, -1):
         a, b = spans[n]
         out[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = n
     return out
 
 
+def _elsewhere(rows: np.ndarray, hit: np.ndarray, lo: int, hi: int, place: int) -> np.ndarray:
+    """Rows lo to hi with the secrets among them in the surroundings of another token, and the
+    file without names of secrets."""
+    out = rows[lo:hi].copy()
+    other = place % len(rows)
+    if hit[max(0, other - 2) : other + 3].max() < 0:
+        own = hit[lo:hi] >= 0
+        out[own, 5:9] = rows[other, 5:9]
+        out[own, 9] -= (out[own, 9] - int(_STARTS[9])) % 2
+    return out
+
+
 def _train_rows(rates: list[float] | None = None) -> Callable:
     """All tokens of the batches as chains of up to LONGEST: (kind, like, place, features, tags),
     kind one of STRATA and like the kind it had without its secrets. Those whose hash is below
@@ -183,7 +200,7 @@ def _train_rows(rates: list[float] | None = None) -> Callable:
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if not text:
                         continue
-                    values, likely = _values(text), [x for run in chains(text) for x in run]
+                    values, likely = (np.array(x, np.int64).reshape(-1, 2) for x in (_values(text), [x for run in chains(text) for x in run]))
                     seed = np.uint64(zlib.crc32(f"{doc}:{len(text)}:{text[:256]}".encode()) << 32)
                     for starts, ends, rows in _blocks(text, _file(text)):
                         hit, hard = _touched(starts, ends, values), _touched(starts, ends, likely) >= 0
@@ -195,9 +212,11 @@ def _train_rows(rates: list[float] | None = None) -> Callable:
                             continue
                         places = (mix(seed + starts[cut].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
                         for n in np.flatnonzero(places < np.array(rates)[kinds] * (1 << 32)).tolist():
-                            own = hit[n * LONGEST : (n + 1) * LONGEST].tolist()
+                            lo, hi = n * LONGEST, min(len(starts), (n + 1) * LONGEST)
+                            own = hit[lo:hi].tolist()
+                            shown = _elsewhere(rows, hit, lo, hi, int(places[n]) >> 1) if places[n] & 1 and kinds[n] == 0 else rows[lo:hi]
                             tags = [0 if h < 0 else 2 if j and own[j - 1] == h else 1 for j, h in enumerate(own)]
-                            out.append((int(kinds[n]), int(like[n]), int(places[n]), rows[n * LONGEST : (n + 1) * LONGEST].ravel().tolist(), tags))
+                            out.append((int(kinds[n]), int(like[n]), int(places[n]), shown.ravel().tolist(), tags))
                 if rates is None:
                     out = [(k, k, n, None, None) for k, n in enumerate(count.tolist())]
                 if out:
@@ -238,36 +257,10 @@ class Field:
         for f, t, o in sorted((f, t, o) for (f, t), o in zip(rows, lean or [0.0] * len(rows), strict=True)):
             by.setdefault(len(t), []).append((f, t, o))
         packs = [(np.array([f for f, _, _ in x]).reshape(len(x), n, k), np.array([t for _, t, _ in x]), np.array([o for _, _, o in x])) for n, x in by.items()]
-        total = len(rows)
         ge, gm = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
         for _ in range(rounds):
-            de, dm = decay * (first - emit), -decay * move
-            for f, t, o in packs:
-                n = f.shape[1]
-                score = emit[f].sum(axis=2)
-                score[:, :, 1] += o[:, None]
-                alpha = [move[3, :3] + score[:, 0]]
-                for i in range(1, n):
-                    alpha.append(_logsum(alpha[-1][:, :, None] + move[:3, :3], 1) + score[:, i])
-                beta = [np.broadcast_to(move[:3, 3], score[:, 0].shape)]
-                for i in range(n - 1, 0, -1):
-                    beta.append(_logsum(move[:3, :3] + (score[:, i] + beta[-1])[:, None, :], 2))
-                beta = beta[::-1]
-                z = _logsum(alpha[-1] + beta[-1], 1)
-                for i in range(n):
-                    p = np.exp(alpha[i] + beta[i] - z[:, None])
-                    d = (np.eye(3)[t[:, i]] - p) / total
-                    for tag in range(3):
-                        de[:, tag] += np.bincount(f[:, i].ravel(), np.repeat(d[:, tag], k), FEATURES)
-                    if i == 0:
-                        dm[3, :3] += d.sum(axis=0)
-                    if i == n - 1:
-                        dm[:3, 3] += d.sum(axis=0)
-                    if i:
-                        q = np.exp(alpha[i - 1][:, :, None] + move[:3, :3] + (score[:, i] + beta[i])[:, None, :] - z[:, None, None])
-                        seen = np.zeros_like(q)
-                        seen[np.arange(len(t)), t[:, i - 1], t[:, i]] = 1
-                        dm[:3, :3] += (seen - q).sum(axis=0) / total
+            _, de, dm = _likelihood(emit, move, packs)
+            de, dm = de + decay * (first - emit), dm - decay * move
             ge += de**2
             gm += dm**2
             emit = emit + 0.3 * de / np.sqrt(ge)
@@ -355,6 +348,40 @@ class Field:
         return kept
 
 
+def _likelihood(emit: np.ndarray, move: np.ndarray, packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log-likelihood of the tagged chains and its gradient by emission and transition.
+    packs: chains of one length each, as features, tags and what is added to B."""
+    like, de, dm, total = 0.0, np.zeros_like(emit), np.zeros_like(move), sum(len(t) for _, t, _ in packs)
+    for f, t, o in packs:
+        n, k, row = f.shape[1], f.shape[2], np.arange(len(t))
+        score = emit[f].sum(axis=2)
+        score[:, :, 1] += o[:, None]
+        alpha = [move[3, :3] + score[:, 0]]
+        for i in range(1, n):
+            alpha.append(_logsum(alpha[-1][:, :, None] + move[:3, :3], 1) + score[:, i])
+        beta = [np.broadcast_to(move[:3, 3], score[:, 0].shape)]
+        for i in range(n - 1, 0, -1):
+            beta.append(_logsum(move[:3, :3] + (score[:, i] + beta[-1])[:, None, :], 2))
+        beta = beta[::-1]
+        z = _logsum(alpha[-1] + beta[-1], 1)
+        like += float((move[3, t[:, 0]] + move[t[:, -1], 3] - z).sum() + sum(score[row, i, t[:, i]].sum() for i in range(n)) + sum(move[t[:, i - 1], t[:, i]].sum() for i in range(1, n))) / total
+        for i in range(n):
+            p = np.exp(alpha[i] + beta[i] - z[:, None])
+            d = (np.eye(3)[t[:, i]] - p) / total
+            for tag in range(3):
+                de[:, tag] += np.bincount(f[:, i].ravel(), np.repeat(d[:, tag], k), len(emit))
+            if i == 0:
+                dm[3, :3] += d.sum(axis=0)
+            if i == n - 1:
+                dm[:3, 3] += d.sum(axis=0)
+            if i:
+                q = np.exp(alpha[i - 1][:, :, None] + move[:3, :3] + (score[:, i] + beta[i])[:, None, :] - z[:, None, None])
+                seen = np.zeros_like(q)
+                seen[row, t[:, i - 1], t[:, i]] = 1
+                dm[:3, :3] += (seen - q).sum(axis=0) / total
+    return like, de, dm
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
@@ -364,6 +391,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, limit: int = CHAINS) -> Field:
     """Fit the field on about `sample` texts (those with the smallest hash of doc_id) and at
     most `limit` of their chains; the base patterns label them. Each kind of chain has its
     share of the limit, those with the smallest hash; the shares are corrected for in the fit."""
+    small_batches(texts.sparkSession)
     n = texts.count()
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(10)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = texts.where(place < min(1.0, sample / max(1, n))).select("doc_id", "text")
@@ -407,6 +435,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     Null or empty text: no spans. Row for row; repeated rows and null ids stay, other columns
     are not looked at, no rows give no rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(_scan(field), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
