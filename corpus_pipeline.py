@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import language_id, ngram_jaccard, pii, sentencepiece_codec, source_mixing
-from lexloom.llm.common import stored
+from lexloom.llm.common import release, stored
 
 #: The encoder's vocabulary. Words of a shingle and the similarity of near duplicates.
 PIECE_MODEL, SHINGLE, SIMILAR = "piece_bpe_32k.model", 5, (80, 100)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without any letter, for which no language can be named, go."""
+    """Language ID: documents without any letter go, as do longer ones that are like no language
+    that was learned; where lang is null it becomes the predicted one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~language_id.held_out())
     return language_id.keep_identified(docs, language_id.learn(rows))
 
@@ -61,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,16 +14,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import mix, slices
+from lexloom.llm.common import mix, slices, small_batches
 
 #: Components of a vector, and letters of an n-gram.
 DIMENSIONS, ORDER = 512, 3
-#: Expected training texts a language; the bound on languages that can be learned.
+#: Expected training texts a language. Values of lang beyond the LANGUAGES most frequent ones are
+#: not learned: a column of so many values holds dirt, and prototypes travel to every task.
 SAMPLE, LANGUAGES = 4000, 2000
 UNDETERMINED = "und"
+#: A text of at least so many letters and gaps whose best cosine is lower than this is in no
+#: language that was learned: normal texts of that length reach 0.6 and more, a few words or marks
+#: repeated stay below. Shorter texts have too few n-grams for that.
+LEAST, ENOUGH = 0.35, 100
 _UNIT = 1 << 20
 _CACHE = 1 << 15
 
@@ -62,7 +68,11 @@ def _symbols(text: str | None) -> np.ndarray:
 
 def text_vectors(texts: list[str | None]) -> np.ndarray:
     """The bundled vector of each text; zero for a text without letters."""
-    each = [_symbols(t) for t in texts]
+    return _bundles([_symbols(t) for t in texts])
+
+
+def _bundles(each: list[np.ndarray]) -> np.ndarray:
+    texts = each
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     if not sum(map(len, each)):
         return out
@@ -115,11 +125,11 @@ def learn(texts: DataFrame, sample: int = SAMPLE) -> dict[str, list[float]]:
     """Prototypes from labelled rows (doc_id, text, lang): language -> unit vector.
 
     About `sample` texts a language are read, those with the smallest hash of doc_id: the bound
-    that lets the prototypes be fitted at any size. Null languages teach nothing."""
+    that lets the prototypes be fitted at any size. Null languages teach nothing, nor do those
+    beyond the LANGUAGES most frequent ones."""
+    small_batches(texts.sparkSession)
     rows = texts.where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} distinct languages are no languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return {}
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
@@ -132,6 +142,20 @@ def learn(texts: DataFrame, sample: int = SAMPLE) -> dict[str, list[float]]:
     return {k: (v / np.linalg.norm(v)).tolist() for k, v in sorted(out.items()) if v.any()}
 
 
+def _best(each: list[np.ndarray], names: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of texts, given as symbols. matrix: a prototype a column."""
+    vectors = _bundles(each).astype(np.float64)
+    norms = np.linalg.norm(vectors, axis=1)
+    lang, score = np.full(len(vectors), UNDETERMINED, object), np.zeros(len(vectors))
+    if names:
+        cosines = vectors @ matrix / np.maximum(norms, 1e-9)[:, None]
+        best = cosines.argmax(axis=1)
+        some = norms > 0
+        lang[some] = np.array(names, object)[best[some]]
+        score[some] = np.clip(cosines[np.arange(len(best)), best], 0, 1)[some]
+    return lang, score
+
+
 def _predict(prototypes: dict[str, list[float]]) -> Callable:
     names = list(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float64).T
@@ -139,17 +163,8 @@ def _predict(prototypes: dict[str, list[float]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                vectors = text_vectors(batch.column("text").to_pylist()).astype(np.float64)
-                norms = np.linalg.norm(vectors, axis=1)
-                lang, score = np.full(len(vectors), UNDETERMINED, object), np.zeros(len(vectors))
-                if names:
-                    cosines = vectors @ matrix / np.maximum(norms, 1e-9)[:, None]
-                    best = cosines.argmax(axis=1)
-                    some = norms > 0
-                    lang[some] = np.array(names, object)[best[some]]
-                    score[some] = np.clip(cosines[np.arange(len(best)), best], 0, 1)[some]
-                kept = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+                lang, score = _best([_symbols(t) for t in batch.column("text").to_pylist()], names, matrix)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -161,28 +176,40 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
     cosines: the alphabetically first language. Repeated rows and null ids keep their rows;
     other columns are not looked at."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(_predict(prototypes), "doc_id long, lang_pred string, score double")
 
 
-def _keep(prototypes: dict[str, list[float]], least: float, at: int) -> Callable:
-    predict = _predict(prototypes)
+def _keep(prototypes: dict[str, list[float]], least: float, enough: int, text_at: int, lang_at: int | None) -> Callable:
+    names = list(prototypes)
+    matrix = np.array([prototypes[k] for k in names], np.float64).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             # by place, not by name: other columns may have any name
-            renamed = pa.RecordBatch.from_arrays(whole.columns, [f"c{i}" if i != at else "text" for i in range(whole.num_columns)])
+            renamed = pa.RecordBatch.from_arrays(whole.columns, [f"c{i}" if i != text_at else "text" for i in range(whole.num_columns)])
             for batch in slices(renamed, "text"):
-                (got,) = predict(iter([batch]))
-                ok = pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(got.column("lang_pred").to_pylist(), got.column("score").to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays(batch.filter(ok).columns, whole.schema.names)
+                each = [_symbols(t) for t in batch.column("text").to_pylist()]
+                lang, score = _best(each, names, matrix)
+                size = np.array([len(x) for x in each])
+                ok = (size > 0) & ((score >= least) | (size < enough) | (not names))
+                columns = batch.columns
+                if lang_at is not None and names:
+                    columns[lang_at] = pc.fill_null(columns[lang_at], pa.array(lang, columns[lang_at].type)) if columns[lang_at].null_count else columns[lang_at]
+                yield pa.RecordBatch.from_arrays(columns, whole.schema.names).filter(pa.array(ok))
 
     return run
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose text gets a language, with a score of at least
-    `least`; rows whose text is null or has no letter go."""
-    return docs.mapInArrow(_keep(prototypes, least, docs.columns.index("text")), docs.schema)
+def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least: float = LEAST, enough: int = ENOUGH) -> DataFrame:
+    """The rows of docs, all columns, that are in a language: rows go whose text is null or has no
+    letter, and rows of at least `enough` letters and gaps with a score below `least`. A null `lang`
+    (if that is a string column) becomes the predicted one; languages that are given stay.
+
+    Without prototypes nothing is known of languages: all rows with a letter stay as they are."""
+    small_batches(docs.sparkSession)
+    lang_at = next((i for i, (c, kind) in enumerate(docs.dtypes) if c == "lang" and kind == "string"), None)
+    return docs.mapInArrow(_keep(prototypes, least, enough, docs.columns.index("text"), lang_at), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

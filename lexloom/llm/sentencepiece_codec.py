@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import slices
+from lexloom.llm.common import slices, small_batches
 
 MARK = "▁"
 #: Segments in each half of the memo; longer segments are not remembered.
@@ -254,4 +254,5 @@ def encode(docs: DataFrame, model_path: str, digests: bool = False, id_col: str
         model = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(_run(model, not digests), f"doc_id long, n_tokens long, {schema}, n_disagreed long")
