@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+import time
+import zlib
 
 import public_tokenizers
 import pytest
@@ -61,6 +64,32 @@ def test_jaccard_edges(spark, docs):
     assert got == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rnd = random.Random(6)
+    one, other, third = (" ".join(_words(rnd, 60)) for _ in range(3))
+    rows = [(5, one), (5, other), (7, one + " near"), (8, other + " near"), (9, third), (9, None), (9, third), (10, third + " near"), (4, None), (4, third + " nearer"), (3, None), (3, "")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (3, 3), (4, 4), (4, 4), (5, 5), (5, 5), (7, 5), (8, 5), (9, 4), (9, 4), (9, 4), (10, 4)]
+
+
+def test_jaccard_in_pieces(spark, monkeypatch):
+    """A chain around one text, in pieces, blocks and tasks of a few sets each."""
+    rnd = random.Random(11)
+    base = _words(rnd, 120)
+    docs: dict[int, str | None] = {}
+    for i in range(240):
+        w = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(40)}"
+        docs[i] = " ".join(w)
+    for name, small in {"PIECE": 5, "TOGETHER": 7, "BLOCK": 6, "BUFFER": 3000}.items():
+        monkeypatch.setattr(ngram_jaccard, name, small)
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.ngram_jaccard_join(table, 4, 85, 100).collect()}
+    assert got == brute.jaccard_components(docs, 4, 85, 100)
+    assert 3 < len({c for _, c in got.values()}) < 200
+
+
 def test_rtree_finds_all():
     import numpy as np
 
@@ -96,16 +125,16 @@ def test_linked_sets_share_a_key_and_keys_stay_few(num):
     assert linked > 15
 
 
-def test_rest_finds_links_the_pivot_misses(spark):
-    # two sets link with each other but not with their bucket's pivot: only the R-tree can tell
+def test_rest_finds_links_between_pieces(spark):
+    # two sets link with each other but not with their gathering's pivot
     rnd = random.Random(8)
     base = _words(rnd, 200)
     a = base[:100] + [f"p{i}" for i in range(14)] + base[114:]
     b = base[:100] + [f"p{i}" for i in range(14)] + base[114:198] + ["q1", "q2"]
-    texts = [" ".join(base), " ".join(a), " ".join(b)]
-    members = spark.createDataFrame([(1, 1, texts[0]), (2, 2, texts[1]), (3, 3, texts[2])], "doc_id long, comp long, text string")
-    pairs = {(r["a"], r["b"]) for r in ngram_jaccard.rest_pairs(members, 4, 85, 100).collect()}
-    assert (3, 2) in pairs
+    texts = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(a)), (3, " ".join(b)), (4, " ".join(base[:150]))], "node long, text string")
+    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4)], "gathering long, node long, comp long")
+    pairs = {tuple(sorted(r)) for r in ngram_jaccard.rest_links(members, texts, 4, 85, 100).collect()}
+    assert pairs == {(2, 3)}
 
 
 def test_language_id(docs, rows):
@@ -115,9 +144,51 @@ def test_language_id(docs, rows):
         und = not any(c.isalpha() for c in text or "")
         assert (got[i]["lang_pred"] == "und") == und
         assert 0 <= got[i]["score"] <= 1 and (got[i]["lang_pred"] in ("en", "fr", "und"))
-    kept = language_id.keep_identified(docs, language_id.learn(docs.where("lang is not null")))
-    assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["lang_pred"] != "und"}
+    learned = language_id.learn(docs.where("lang is not null"))
+    pred = {r["doc_id"]: r for r in language_id.identify(docs, learned).collect()}
+    low = {i for i, text, *_ in rows if len(language_id._symbols(text)) >= language_id.ENOUGH and pred[i]["score"] < language_id.LEAST}
+    kept = language_id.keep_identified(docs, learned)
+    assert kept.columns == docs.columns and 0 < len(low) < 20
+    assert {r["doc_id"]: r["lang"] for r in kept.collect()} == {i: lang or pred[i]["lang_pred"] for i, _, lang, *_ in rows if got[i]["lang_pred"] != "und" and i not in low}
+    assert {r["doc_id"] for r in language_id.keep_identified(docs, {}).collect()} == {i for i in got if got[i]["lang_pred"] != "und"}
+
+
+def test_language_id_against_plain_python(spark):
+    """Vectors of n-grams bound letter by letter, bundled and compared without any batching."""
+    import numpy as np
+
+    rnd = random.Random(12)
+    kinds = {"aa": ["tion", "the", "ing", "wh"], "bb": ["sch", "keit", "ü", "ung"], "cc": ["日", "本", "語"]}
+    rows = [(i, " ".join("".join(rnd.choices(kinds[k], k=rnd.randint(1, 3))) for _ in range(rnd.randint(1, 30))) + rnd.choice(["", " 12!", "\n\n"]), k) for i in range(90) for k in [rnd.choice(list(kinds))]]
+    rows += [(200, "The", None), (201, "a", "aa"), (202, "", "aa"), (203, None, "bb"), (201, "a", "aa")]
+
+    def vector(text):
+        codes = re.sub("[\\W\\d_]+", " ", f" {(text or '').lower()} ")
+        if not codes.strip():
+            return None
+        out = np.zeros(language_id.DIMENSIONS)
+        for gram in zip(codes, codes[1:], codes[2:], strict=False):
+            one = np.ones(language_id.DIMENSIONS)
+            for place, c in enumerate(gram):
+                one *= np.roll(language_id._letter_vector(ord(c)).astype(float), language_id.ORDER - 1 - place)
+            out += one
+        return out / np.linalg.norm(out)
+
+    sums: dict[str, np.ndarray] = {}
+    for i, text, lang in rows:
+        v = vector(text)
+        if lang and v is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            sums[lang] = sums.get(lang, 0) + np.rint(v * language_id._UNIT)
+    protos = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = sorted(language_id.learn_and_identify(docs).collect(), key=lambda r: (r["doc_id"], r["lang_pred"]))
+    assert len(got) == len(rows)
+    for r, (i, text, _) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
+        v = vector(text)
+        cos = {k: float(v @ p) for k, p in protos.items()} if v is not None else {}
+        best = max(sorted(cos), key=cos.get) if cos else "und"
+        assert (r["doc_id"], r["held_out"], r["lang_pred"]) == (i, zlib.crc32(str(i).encode()) % 3 == 1, best)
+        assert abs(r["score"] - min(1, max(0, cos.get(best, 0)))) < 1e-6
 
 
 def test_language_id_accuracy(spark):
@@ -181,6 +252,47 @@ def test_pii_discovers_beside_long_numbers(spark):
     assert got[32] == got[33] == ""  # no pattern; in the form of a card, but none
 
 
+def test_pii_contexts_over_other_matches(spark):
+    """The two words before an identifier count whatever they hold: digits, or many letters."""
+    long = "x" * 120
+    texts = [f"{long}7 {long} user{i}@mail.example.com" for i in range(12)] + [f"a {long}7 {long} AB-1234-X, then", "no 12 ab1234 AB-1234-Y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    assert got[12] == "context:245:254" and got[13] == ""
+
+
+def test_pii_finds_planted_identifiers(spark):
+    """Identifiers in no base form, in the surroundings of seeds, among whole documents."""
+    rnd = random.Random(21)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("length(text) > 200").collect()]
+    said = ["customer reference:", "account holder id:", "contact number is"]
+    hidden, n = {}, 0
+    for at in range(0, 400):
+        doc, text = rows[at]
+        cut = text.index(" ", rnd.randrange(0, len(text) // 2)) + 1 if " " in text[len(text) // 2 :] else 0
+        secret = at % 4 == 0
+        value = f"{rnd.choice('QRST')}{rnd.choice('XYZ')}-{rnd.randrange(1000, 9999)}-{rnd.randrange(10, 99)}" if secret else f"u{rnd.randrange(10**6)}@mail.example.com"
+        head = f"{text[:cut]}please note the {rnd.choice(said)} "
+        rows[at] = (doc, f"{head}{value}, {text[cut:]}")
+        if secret:
+            hidden[doc], n = f"context:{len(head)}:{len(head) + len(value)}", n + 1
+    found = [(r["doc_id"], x) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r["spans"].split(",") if x.startswith("context")]
+    right = sum(hidden.get(doc) == x for doc, x in found)
+    assert right >= 0.9 * n and right >= 0.9 * len(found), (n, right, len(found))
+
+
+def test_pii_takes_linear_time(spark):
+    rnd = random.Random(1)
+    number = lambda: f"{rnd.randrange(10**6, 10**9)}"
+    texts = [" ".join(number() for _ in range(500_000)), " ".join(f"word {rnd.randrange(256)}.{rnd.randrange(256)}.1.2 x" for _ in range(250_000)), "+14155550100 " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(docs.withColumn("n_chars", F.length("text").cast("long"))).collect()}
+    assert time.time() - began < 120
+    assert got[1][0] == "word <IP> x " * 249_999 + "word <IP> x" and got[2] == ("<PHONE> " * 100_000, 800_000)
+    assert "<" not in got[0][0] or "<CARD>" in got[0][0]
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a x@y.zz b +14155550100", 0, "t"), (2, None, 0, None), (2, "clean", 5, "u")], "doc_id long, text string, n_chars long, every string")
     got = sorted((r["text"] or "", r["n_chars"]) for r in pii.redact(docs).collect())
@@ -197,6 +309,65 @@ def test_secrets(docs, rows):
     assert secret_scan.train_and_scan(docs.limit(0)).count() == 0
 
 
+def test_gradient_by_finite_differences():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    emit, move = rng.normal(size=(12, 3)), rng.normal(size=(4, 4))
+    packs = [(rng.integers(0, 12, (m, n, 4)), rng.integers(0, 3, (m, n)), rng.normal(size=m)) for n, m in ((1, 5), (2, 4), (3, 6))]
+
+    def like(emit, move):
+        out = []
+        for f, t, o in packs:
+            for fs, ts, lean in zip(f, t, o, strict=True):
+                path = lambda y, fs=fs, lean=lean: move[3, y[0]] + move[y[-1], 3] + sum(emit[fs[i], y[i]].sum() + lean * (y[i] == 1) for i in range(len(y))) + sum(move[y[i], y[i + 1]] for i in range(len(y) - 1))
+                every = [path(y) for y in itertools.product(range(3), repeat=len(ts))]
+                out.append(path(tuple(ts)) - np.log(np.exp(every).sum()))
+        return float(np.mean(out))
+
+    got, de, dm = secret_scan._likelihood(emit, move, packs)
+    assert abs(got - like(emit, move)) < 1e-9
+    for x, d in ((emit, de), (move, dm)):
+        for at in np.ndindex(x.shape):
+            was, sides = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = was + step
+                sides.append(like(emit, move))
+            x[at] = was
+            assert abs((sides[0] - sides[1]) / 2e-5 - d[at]) < 1e-6
+
+
+def test_field_finds_secrets_without_names(spark):
+    """Held-out secrets that no base pattern matches, in plain surroundings, and only those."""
+    rnd = random.Random(31)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("length(text) > 200").orderBy("doc_id").limit(5000).collect()]
+    field = secret_scan.train(spark.createDataFrame(rows[:4000], "doc_id long, text string"))
+    n = right = other = 0
+    for doc, text in rows[4000:]:
+        base = secret_scan.base_spans(text)
+        other += len(field.spans(text, base))
+        if doc % 4 == 0 and " " in text[100:]:
+            cut = text.index(" ", 100) + 1
+            value = "".join(rnd.choice("0123456789abcdef") for _ in range(28))
+            planted = f"{text[:cut]}{value} {text[cut:]}"
+            n += 1
+            right += (cut, 3, cut + 28) in field.spans(planted, secret_scan.base_spans(planted))
+    assert right >= 0.9 * n > 50 and other <= 0.1 * right, (n, right, other)
+
+
+def test_secrets_take_linear_time():
+    rnd = random.Random(2)
+    text = " ".join(f'password: "{rnd.getrandbits(64):016x}" and {rnd.randrange(10**9)}' for _ in range(110_000))
+    field = secret_scan.Field.fit([([int(s) for s in secret_scan._STARTS], [0])])
+    began = time.time()
+    base = secret_scan.base_spans(text)
+    assert len(base) == 110_000 and field.spans(text, base) == []
+    list(secret_scan._train_rows([0.01] * 3)(iter([__import__("pyarrow").RecordBatch.from_pylist([{"doc_id": 1, "text": text}])])))
+    assert time.time() - began < 60
+
+
 def test_field_learns_and_viterbi_is_exact():
     import itertools
 
@@ -275,6 +446,15 @@ def test_mixing(spark, docs, rows):
     assert {r["source"] for r in source_mixing.replicate(docs, {"s1": 1.0}).collect()} == {"s1"}
 
 
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    odd = docs.selectExpr("doc_id", "source", "'mine' as Copy", "7 as shuffle_key", "1 as parts", "2 as row", "3 as key", "4 as n", "5 as of", "6 as cdf", "'x' as name")
+    out = source_mixing.replicate(odd.union(odd.selectExpr("null", "source", *odd.columns[2:])))
+    assert out.columns == [*odd.columns, "_copy", "_shuffle_key"]
+    assert {tuple(r)[2:11] for r in out.collect()} == {("mine", 7, 1, 2, 3, 4, 5, 6, "x")}
+    plain = source_mixing.replicate(docs.select("doc_id", "source"))
+    assert sorted(tuple(r) for r in source_mixing.replicate(odd).select("doc_id", "_copy", "_shuffle_key").collect()) == sorted(tuple(r) for r in plain.select("doc_id", "copy", "shuffle_key").collect())
+
+
 def test_mixing_rates_beyond_one_part(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
     n = [r["n"] for r in source_mixing.replicate(docs, total=400 * 50.0).groupBy("doc_id").agg(F.count("*").alias("n")).collect()]

@@ -4,28 +4,32 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from tests.llm import brute
 
 import corpus_pipeline as P
-from lexloom.llm import pii, source_mixing
+from lexloom.llm import language_id, pii, source_mixing
 
 
 def test_pipeline(spark, tmp_path):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice(["re", "tion", "the", "ou", "an", "é"]) for _ in range(rnd.randint(1, 4)))
-    texts: list[str | None] = [None, "", "123 456", "!?"]
+    texts: list[str | None] = [None, "", "123 456", "!?", "zzz zzz " * 40]
     for _ in range(30):
         base = [word() for _ in range(rnd.choice([12, 40, 150]))]
         texts.append(" ".join(base))
         if rnd.random() < 0.5:
             texts += [" ".join([*base[:-1], "changed"]), " ".join(base), " ".join([*base, "mail", f"joe{len(texts)}@mail.example.com"])]
-    rows = [(i, t, rnd.choice(["en", "fr"]), rnd.choice(["a", "a", "a", "b"]), len(t or "")) for i, t in enumerate(texts)]
+    rows = [(i, t, rnd.choice(["en", "fr", None]), rnd.choice(["a", "a", "a", "b"]), len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = P.run(spark, str(tmp_path)).collect()
 
-    kept = {i: t for i, t, *_ in rows if any(c.isalpha() for c in t or "")}
+    learned = language_id.learn(spark.createDataFrame([(i, t, lang) for i, t, lang, *_ in rows], "doc_id long, text string, lang string").where(~language_id.held_out()))
+    score = {i: max(v @ np.array(p) for p in learned.values()) / max(1e-9, np.linalg.norm(v)) for i, t, *_ in rows for v in language_id.text_vectors([t]).astype(float)}
+    kept = {i: t for i, t, *_ in rows if any(c.isalpha() for c in t or "") and (len(language_id._symbols(t)) < language_id.ENOUGH or score[i] >= language_id.LEAST)}
+    assert 4 not in kept and len(kept) > len(rows) - 10
     comps = brute.jaccard_components(kept, P.SHINGLE, *P.SIMILAR)
     kept = {i: t for i, t in kept.items() if comps[i][1] == i}
     for i, t in kept.items():

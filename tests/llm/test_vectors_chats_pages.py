@@ -51,6 +51,28 @@ def test_bounds_hold():
     assert (np.abs(x @ x.T - approx) <= bound + 1e-9).all()
 
 
+def test_near_duplicates_of_extreme_lengths(spark):
+    """Vectors whose squares vanish or overflow have a direction like others."""
+    v = [1.0, 2.0, 3.0]
+    rows = [(i, [x * s for x in v]) for i, s in enumerate([1.0, 1e-170, 1e-320, 1e200, 1e308 / 4, -1.0])] + [(9, [1.0, 0.0, 0.0]), (9, v), (9, v), (None, v)]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    # 1e-320 has few digits left, but is within the threshold; 9 links by the rows that hold v
+    assert got == [(0, 6, 0, True), (1, 6, 0, False), (2, 6, 0, False), (3, 6, 0, False), (4, 6, 0, False), (5, 0, 5, True), (9, 0, 9, True), (9, 6, 0, False), (9, 6, 0, False)]
+
+
+def test_tiles_that_are_apart_do_not_meet():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(200, 16)) for c in np.eye(16)[:6]])
+    tiling = embedding_dedup.Tiling({16: np.eye(16)}, [(16, i, 0, 200) for i in range(6)], 200)
+    angles = tiling.angles(embedding_dedup.units(x)).reshape(6, 200, -1)
+    ranges = {16: [np.arange(6), angles.min(axis=1), angles.max(axis=1)]}
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pylist([{"tile": i, "dim": 16, "ids": b"", "sizes": b"", "vectors": b"", "low": angles[i].min(axis=0).tolist(), "high": angles[i].max(axis=0).tolist()} for i in range(6)])
+    met = [(b.column("u")[0].as_py(), b.column("v")[0].as_py()) for b in embedding_dedup._meetings(ranges, math.acos(0.95))(iter([rows]))]
+    assert met == [(i, i) for i in range(6)]
+
+
 def test_near_duplicates_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -75,6 +97,36 @@ def test_topk_few_rows(spark):
     assert topk_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_beyond_long(spark):
+    rows = [(0, [6e7, -6e7]), (20, [6e7, -6e7]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1e16, 0.0]), (None, [1.0, 1.0]), (4, [1.0]), (5, [math.nan, 1.0]), (20, [0.0, 1.0])]
+    df = topk_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    top, low = (1 << 63) - 1, -(1 << 63)
+    ints = [(i, [min(max(math.floor(64 * x), low), top) for x in v]) for i, v in rows if i is not None and len(v) == 2 and not math.isnan(v[0])]
+    got = sorted(tuple(r) for r in topk_search.search(df, df.where("vec_id = 0"), 20).collect())
+    score = lambda v: min(max(sum(a * b for a, b in zip(ints[0][1], v, strict=True)), low), top)
+    best = sorted((-score(v), i) for i, v in ints if i != 0)
+    assert got == [(0, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_topk_is_exact_where_squares_lose_digits(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(10**9), 10**9, size=(40, 6))
+    rows = [(i, [int(x) for x in base[i % 40] + rng.integers(-3, 4, 6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, x array<long>")
+    got = {}
+    for r in topk_search.search(df, df.where("vec_id % 20 = 0"), 5, 32, 8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, x in rows[::20]:
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_components_of_a_hub(spark):
+    spokes = spark.range(1, 30_001).selectExpr("id as a", "id % 3 as b")
+    got = components(spokes.union(spark.createDataFrame([(0, 1), (2, 40_000)], "a long, b long"))).groupBy("component").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 20_001), (2, 10_002 - 1)]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(200, 300)] + [(0, x) for x in range(1, 50)] + [(rnd.randrange(400, 900), rnd.randrange(400, 900)) for _ in range(200)] + [(7, 7)]
