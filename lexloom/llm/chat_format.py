@@ -25,7 +25,9 @@ OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 CONTROL = ("<|turn|>", "<|end|>", "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(["\\\\", *map(re.escape, CONTROL)]))
 _ESCAPED = re.compile(r"\\(\\?)")
-#: Characters of a conversation that are rendered before a piece is encoded; pieces end with turns.
+#: Characters of a conversation that are rendered before a piece is encoded. Pieces end with turns,
+#: which end with a line break before the next turn's mark: there the tokenizer's own splitting
+#: into words cuts (a test holds this), so the pieces' tokens are the whole's.
 PIECE = 1 << 20
 #: Words whose merges a task's tokenizer remembers.
 WORDS = 200_000

@@ -38,6 +38,8 @@ SAMPLE, CHAINS, LONGEST = 20_000, 8_000, 6
 #: Kinds of chains that have a share of the bound each: with a secret, clean with a token of 8
 #: characters and a digit, clean without.
 STRATA = 3
+#: How often a training secret is shown elsewhere besides its own place.
+VARIANTS = 4
 #: Code points of a block, tokens of an open piece before its settled part is let go.
 BLOCK, PENDING = 1 << 16, 4096
 #: Hash buckets of a word feature; numbers of values of the other features, in order.
@@ -101,8 +103,9 @@ class _Memo(dict):
 _SHAPES, _GAPS = _Memo(_shape), _Memo(_gap)
 
 
-def _blocks(text: str, file: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All tokens of the text in blocks: starts, ends and a row of features each."""
+def _columns(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All tokens of the text in blocks: starts, ends, and a row each of shape, gap before it, and
+    buckets of the word before, the one before that and the next one."""
     at, context = 0, []  # where the block starts, the starts of the two tokens before it
     while m := _WORD.search(text, at):
         to = _REST.match(text, min(len(text), m.start() + BLOCK)).end()
@@ -118,18 +121,23 @@ def _blocks(text: str, file: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         word, equals = packed // 4 % WORDS, packed % 4
         # equals signs count to the gap though tokens may hold them
         joined = np.where(gaps >= 8, shift(equals % 2, 1) | np.where(shift(equals, 1) >= 2, shift(gaps % 8, 1), 0), 0)
-        rows = np.empty((len(tokens), len(_SIZES)), np.int32)
-        packed //= 4 * WORDS
-        for j in (4, 3, 2, 1, 0):
-            rows[:, j] = packed % _SIZES[j]
-            packed //= _SIZES[j]
-        rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 8], rows[:, 9] = gaps % 8 | joined, shift(word, 1), shift(word, 2), np.append(word[1:], 0), file
-        rows += _STARTS.astype(np.int32)
         own = slice(len(context), len(tokens) - (after is not None))
-        yield starts[own], ends[own], rows[own]
+        columns = (packed // (4 * WORDS), gaps % 8 | joined, shift(word, 1), shift(word, 2), np.append(word[1:], 0))
+        yield starts[own], ends[own], np.stack([c[own] for c in columns], 1)
         context, at = starts[: own.stop][-2:].tolist(), to
 
 
+def _blocks(text: str, file: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All tokens of the text in blocks: starts, ends and a row of features each."""
+    for starts, ends, columns in _columns(text):
+        rows, shape = np.empty((len(starts), len(_SIZES)), np.int32), columns[:, 0]
+        for j in (4, 3, 2, 1, 0):
+            rows[:, j] = shape % _SIZES[j]
+            shape = shape // _SIZES[j]
+        rows[:, 5:9], rows[:, 9] = columns[:, 1:], file
+        yield starts, ends, rows + _STARTS.astype(np.int32)
+
+
 def _features(text: str, start: int, end: int, file: int) -> list[int]:
     """The row of one token."""
     return next(rows[i].tolist() for starts, ends, rows in _blocks(text, file) for i in np.flatnonzero((starts == start) & (ends == end)))
@@ -175,15 +183,19 @@ def _touched(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.ndar
     return out
 
 
-def _elsewhere(rows: np.ndarray, hit: np.ndarray, lo: int, hi: int, place: int) -> np.ndarray:
-    """Rows lo to hi with the secrets among them in the surroundings of another token, and the
-    file without names of secrets."""
+def _elsewhere(rows: np.ndarray, hit: np.ndarray, lo: int, hi: int, place: int, tokens: dict[int, str]) -> np.ndarray:
+    """Rows lo to hi with the secrets among them (tokens, by row) in the surroundings of another
+    token, cut to some length of 16 characters or more, and the file without names of secrets."""
     out = rows[lo:hi].copy()
     other = place % len(rows)
     if hit[max(0, other - 2) : other + 3].max() < 0:
-        own = hit[lo:hi] >= 0
-        out[own, 5:9] = rows[other, 5:9]
-        out[own, 9] -= (out[own, 9] - int(_STARTS[9])) % 2
+        out[:, 9] -= (out[:, 9] - int(_STARTS[9])) % 2
+        for i, token in tokens.items():
+            shape = _SHAPES[token[: 16 + place % max(1, len(token) - 15)]] // (4 * WORDS)
+            for j in (4, 3, 2, 1, 0):
+                out[i - lo, j] = _STARTS[j] + shape % _SIZES[j]
+                shape //= _SIZES[j]
+            out[i - lo, 5:9] = rows[other, 5:9]
     return out
 
 
@@ -207,16 +219,18 @@ def _train_rows(rates: list[float] | None = None) -> Callable:
                         cut = np.arange(0, len(starts), LONGEST)
                         like = np.where(np.logical_or.reduceat(hard, cut), 1, 2)
                         kinds = np.where(np.maximum.reduceat(hit, cut) >= 0, 0, like)
-                        count = count + np.bincount(kinds, minlength=STRATA)
+                        count = count + np.bincount(kinds, minlength=STRATA) * np.array([1 + VARIANTS, 1, 1])
                         if not rates:
                             continue
                         places = (mix(seed + starts[cut].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
                         for n in np.flatnonzero(places < np.array(rates)[kinds] * (1 << 32)).tolist():
                             lo, hi = n * LONGEST, min(len(starts), (n + 1) * LONGEST)
                             own = hit[lo:hi].tolist()
-                            shown = _elsewhere(rows, hit, lo, hi, int(places[n]) >> 1) if places[n] & 1 and kinds[n] == 0 else rows[lo:hi]
                             tags = [0 if h < 0 else 2 if j and own[j - 1] == h else 1 for j, h in enumerate(own)]
-                            out.append((int(kinds[n]), int(like[n]), int(places[n]), shown.ravel().tolist(), tags))
+                            secrets = {i: text[starts[i] : ends[i]] for i in range(lo, hi) if hit[i] >= 0}
+                            for v in range(1 + VARIANTS * (kinds[n] == 0)):
+                                shown = _elsewhere(rows, hit, lo, hi, int(mix(places[n : n + 1].astype(np.uint64) + np.uint64(v))[0] >> np.uint64(33)), secrets) if v else rows[lo:hi]
+                                out.append((int(kinds[n]), int(like[n]), int(places[n]), shown.ravel().tolist(), tags))
                 if rates is None:
                     out = [(k, k, n, None, None) for k, n in enumerate(count.tolist())]
                 if out:
@@ -241,6 +255,12 @@ class Field:
     def __init__(self, emit: np.ndarray, move: np.ndarray) -> None:
         self.emit, self.move = emit, move
 
+    def _tables(self) -> list[np.ndarray]:
+        """Scores of each value of a row of _columns, and of the file."""
+        shapes = np.arange(int(np.prod(_SIZES[:5])))
+        first = sum(self.emit[_STARTS[j] + shapes // int(np.prod(_SIZES[j + 1 : 5])) % _SIZES[j]] for j in range(5))
+        return [first, *(self.emit[a : a + n] for a, n in zip(_STARTS[5:], _SIZES[5:], strict=True))]
+
     @classmethod
     def fit(cls, rows: list[tuple[list[int], list[int]]], rounds: int = 120, decay: float = 1e-3, lean: list[float] | None = None) -> Field:
         """Maximise the penalised log-likelihood by AdaGrad over all chains at once.
@@ -291,7 +311,7 @@ class Field:
             ways = ways if b is None else {b[t] for t in ways}
         return tags[::-1]
 
-    def _tagged(self, text: str) -> Iterator[tuple[int, int, int]]:
+    def _tagged(self, text: str, tables: list[np.ndarray] | None = None) -> Iterator[tuple[int, int, int]]:
         """(start, end, tag) of the tokens on the best path over all tokens of the text that are
         not O; (start, start, 0) where O stands between them."""
         m = self.move
@@ -307,8 +327,10 @@ class Field:
             del held[: len(tags)]
             left = tags[-1] if tags else left
 
-        for starts, ends, rows in _blocks(text, _file(text)):
-            scores = self._scores(rows)
+        *tables, files = self._tables() if tables is None else tables
+        own = files[_file(text)]
+        for starts, ends, columns in _columns(text):
+            scores = sum(t.take(columns[:, j], axis=0) for j, t in enumerate(tables)) + own
             free = np.flatnonzero(scores[:, 0] - scores[:, 1:].max(axis=1) <= reach)
             last = -1
             for i, a, b, s in zip(free.tolist(), starts[free].tolist(), ends[free].tolist(), scores[free].tolist(), strict=True):
@@ -330,10 +352,10 @@ class Field:
         if held:
             yield from settle(3)
 
-    def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Secrets by the field that no base span touches."""
+    def spans(self, text: str, base: list[tuple[int, int, int]], tables: list[np.ndarray] | None = None) -> list[tuple[int, int, int]]:
+        """Secrets by the field that no base span touches. tables: _tables(), if at hand."""
         out, before = [], 0
-        for a, b, tag in self._tagged(text):
+        for a, b, tag in self._tagged(text, tables):
             if tag == 2 and before:
                 out[-1] = (out[-1][0], 3, b)
             elif tag:
@@ -413,6 +435,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, limit: int = CHAINS) -> Field:
 def _scan(field: Field) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        tables = field._tables()
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
@@ -420,7 +443,7 @@ def _scan(field: Field) -> Callable:
                     text = text or ""
                     base = base_spans(text)
                     kinds = [k for _, k, _ in base]
-                    every = sorted(base + field.spans(text, base))
+                    every = sorted(base + field.spans(text, base, tables))
                     rows.append((*(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3]), pa.array(columns[4])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])

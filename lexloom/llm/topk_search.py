@@ -209,12 +209,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tile: int = TILE
 
 
 def scaled(vectors: DataFrame, factor: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, x): components floor(factor * x) as longs. Vectors that are null or empty or hold
-    null or non-finite components, and rows with a null id, are left out; so are vectors whose
-    length is not the most common one's."""
+    """(vec_id, x): components floor(factor * x) as longs, or the end of the longs they are beyond.
+    Vectors that are null or empty or hold null or non-finite components, and rows with a null id,
+    are left out; shorter vectors are filled up with zeros to the longest one's length."""
     vec = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("v"))
     good = F.expr("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     rows = rows.where(good).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(factor)).cast("long")).alias("x"))
-    sizes = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("x") == sizes[0]["n"]) if sizes else rows
+    longest = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    return rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0).cast("long"), longest - F.size("x"))))

@@ -41,13 +41,17 @@ def write_archive(pages: DataFrame, path: str) -> None:
     Null html: an empty payload. Null url: an empty one; CR and LF in urls become %0D and %0A.
     Rows with a null page_id are left out; rows with a repeated page_id are records of their own.
     Of equal payloads of DEDUPLICATE bytes or more the one of the smallest page_id is the
-    response, and the others are revisits that refer to it."""
+    response, and the others are revisits that refer to it; of several rows of that page_id all are
+    responses. No rows: an archive without records."""
+    shared_dir(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where("page_id is not null")
     packed = rows.select("html").mapInArrow(_compress, "digest string, packed binary")
     packed.groupBy("digest").agg(F.first("packed").alias("packed")).write.parquet(f"{path}/payloads")
 
     facts = rows.select("page_id", "url", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("n"))
-    first = facts.where(F.col("n") >= DEDUPLICATE).groupBy("digest").agg(F.min("page_id").alias("first"))
+    # a table of its own, so that the join can split the rows of a digest that many records share
+    first = facts.where(F.col("n") >= DEDUPLICATE).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    first = first.where("copies > 1").select("digest", "first").checkpoint()
     facts = facts.join(first, "digest", "left").withColumn("revisit", F.coalesce(F.col("first") < F.col("page_id"), F.lit(False)))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))

@@ -69,13 +69,43 @@ def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def chats(rows: list[tuple[int, int, str, str]]) -> dict[int, tuple]:
+CONTROL = ["<|turn|>", "<|end|>", "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
+
+
+def escaped(text: str) -> str:
+    out, i = "", 0
+    while i < len(text):
+        found = next((c for c in CONTROL if text.startswith(c, i)), None)
+        if text[i] == "\\":
+            out += "\\\\"
+        elif found:
+            out += found[0] + "\\" + found[1:]
+            i += len(found) - 1
+        else:
+            out += text[i]
+        i += 1
+    return out
+
+
+def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """A conversation in the template, and where its assistant texts are."""
+    out, spans = "", []
+    for role, text in turns:
+        out += "<|turn|>" + escaped(role).replace("\n", "\\n") + "\n"
+        if role == "assistant":
+            spans.append((len(out), len(out) + len(escaped(text))))
+        out += escaped(text) + "<|end|>\n"
+    return out, spans
+
+
+def chats(rows: list[tuple[int | None, int | None, str | None, str | None]]) -> dict[int, tuple]:
     by = defaultdict(list)
     for conv, turn, role, text in rows:
-        by[conv].append((turn, role or "", text or ""))
+        if conv is not None:
+            by[conv].append((turn is not None, turn or 0, role is not None, role or "", text is not None, text or ""))
     out = {}
     for conv, turns in by.items():
-        turns.sort()
-        loss = "".join(t for _, r, t in turns if r == "assistant")
-        out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss))
+        turns = [(x[3], x[5]) for x in sorted(turns)]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(formatted(turns)[0]))
     return out

@@ -54,3 +54,17 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, "").columns == docs.columns
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_keep_rows_without_an_id_and_odd_columns(spark):
+    text = "the one and only text that the other rows are made of with some more words to it"
+    rows = [(None, text, "en", "a", 1), (None, text, None, None, None), (2, text, "en", "a", 1), (2, text, "en", "a", 1), (3, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as copy", "2 as shuffle_key", "'c' as component_id", "'e' as every", "'s' as spans", "9 as node")
+    out = docs
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, out, "")
+        assert out.columns == docs.columns
+        assert {tuple(r)[5:] for r in out.collect()} <= {(1, 2, "c", "e", "s", 9)}
+    before = P.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in before) == [0, 0, 2, 2, 3]  # rows of one id are one document
+    assert P.STAGES[-1][1](spark, docs, "").count() == 5

@@ -84,7 +84,7 @@ def test_topk(spark, tile, block, k):
     got = {}
     for r in topk_search.search(df, df.where("vec_id % 20 = 0"), k, tile, block).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ints = {i: [math.floor(64 * x) for x in v] for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and len(v) == 12}
+    ints = {i: [math.floor(64 * x) for x in v] + [0] * (12 - len(v)) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()}
     for q in [i for i in ints if i % 20 == 0]:
         best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q)[:k]
         assert sorted(got[q]) == [(n + 1, c, -s) for n, (s, c) in enumerate(best)]
@@ -98,10 +98,10 @@ def test_topk_few_rows(spark):
 
 
 def test_topk_beyond_long(spark):
-    rows = [(0, [6e7, -6e7]), (20, [6e7, -6e7]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1e16, 0.0]), (None, [1.0, 1.0]), (4, [1.0]), (5, [math.nan, 1.0]), (20, [0.0, 1.0])]
+    rows = [(0, [6e7, -6e7]), (20, [6e7, -6e7]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1e16, 0.0]), (None, [1.0, 1.0]), (4, [1.0]), (5, [math.nan, 1.0]), (6, []), (20, [0.0, 1.0])]
     df = topk_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     top, low = (1 << 63) - 1, -(1 << 63)
-    ints = [(i, [min(max(math.floor(64 * x), low), top) for x in v]) for i, v in rows if i is not None and len(v) == 2 and not math.isnan(v[0])]
+    ints = [(i, [min(max(math.floor(64 * x), low), top) for x in [*v, 0.0][:2]]) for i, v in rows if i is not None and v and not math.isnan(v[0])]
     got = sorted(tuple(r) for r in topk_search.search(df, df.where("vec_id = 0"), 20).collect())
     score = lambda v: min(max(sum(a * b for a, b in zip(ints[0][1], v, strict=True)), low), top)
     best = sorted((-score(v), i) for i, v in ints if i != 0)
@@ -145,12 +145,42 @@ def test_chats(spark):
     rnd = random.Random(6)
     rows = [(c, t, rnd.choice(["user", "assistant", "system", "assi\nstant", None, "<|turn|>"]), rnd.choice(TEXTS), "extra") for c in range(40) for t in range(rnd.randint(1, 9))]
     rows += [(99, t, rnd.choice(["user", "assistant"]), "some words " * 400, "x") for t in range(400)]
+    rows += [(7, None, "assistant", "first", ""), (7, None, None, "before", ""), (None, 1, "user", "out", ""), (8, 0, "user", "twice", ""), (8, 0, "user", "twice", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string")
-    got = {r["conv_id"]: tuple(r)[1:5] for r in chat_format.format_chats(df, public_tokenizers.path(Q.CHAT_TOKENIZER)).collect()}
+    got = {r["conv_id"]: tuple(r)[1:6] for r in chat_format.format_chats(df, public_tokenizers.path(Q.CHAT_TOKENIZER)).collect()}
     assert got == brute.chats([r[:4] for r in rows])
     assert chat_format.format_chats(df.limit(0), public_tokenizers.path(Q.CHAT_TOKENIZER)).count() == 0
 
 
+def _chat_masks(tokenizer, rows):
+    """(tokens, tokens that touch an assistant's text) of each conversation, pair by pair."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        text, spans = brute.formatted([(r[2] or "", r[3] or "") for r in sorted((x for x in rows if x[0] == conv), key=lambda x: x[1])])
+        ends, n, loss = 0, 0, 0
+        offsets = tokenizer.encode(text, add_special_tokens=False).offsets
+        for i, (a, b) in enumerate(offsets):
+            start, ends = min(a, ends), max(ends, len(text) if i + 1 == len(offsets) else b)  # what is trimmed off a token is its own
+            n += 1
+            loss += any(start < y and x < ends for x, y in spans)
+        out[conv] = (n, loss)
+    return out
+
+
+def test_chat_masks(spark, monkeypatch):
+    rnd = random.Random(16)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), " ".join(rnd.choice(["", "Hello", "wörld", "</s>", "\\", "x" * 30, "日本", "\n\n", "1234"]) for _ in range(rnd.randint(0, 12)))) for c in range(30) for t in range(rnd.randint(1, 8))]
+    rows += [(99, t, rnd.choice(["user", "assistant"]), "\n some words" * rnd.randrange(9) + rnd.choice(["", "\n", " ", "\n "])) for t in range(300)]
+    path = public_tokenizers.path(Q.CHAT_TOKENIZER)
+    with open(path, encoding="utf-8") as f:
+        want = _chat_masks(chat_format._tokenizer(f.read()), rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for piece in (1 << 20, 50):
+        monkeypatch.setattr(chat_format, "PIECE", piece)
+        got = {r["conv_id"]: (r["n_tokens"], r["loss_tokens"]) for r in chat_format.format_chats(df, path).collect()}
+        assert got == want
+
+
 def test_chat_round_trip():
     for text in TEXTS:
         turns = [("user", text or ""), ("a\\\nb", text or "")]
@@ -190,3 +220,15 @@ def test_warc_damage_is_seen(spark):
     with pytest.raises(Exception, match="does not have its digest"):
         warc_store.read_archive(spark, f"{path}-bad").collect()
     assert warc_store.read_archive(spark, path).count() == 2
+
+
+def test_warc_of_repeated_pages_and_none(spark):
+    page = "y" * 150
+    rows = [(1, "a", page), (1, "b", page), (2, "c", page), (2, "d", page), (3, "e", "z"), (3, "e", "z")]
+    path = scratch_path(spark, "test-warc")
+    warc_store.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc_store.read_archive(spark, path).collect())
+    assert got == [(1, "a", "response", None), (1, "b", "response", None), (2, "c", "revisit", 1), (2, "d", "revisit", 1), (3, "e", "response", None), (3, "e", "response", None)]
+    path = scratch_path(spark, "test-warc")
+    warc_store.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc_store.read_archive(spark, path).count() == 0
