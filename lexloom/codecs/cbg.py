@@ -8,10 +8,12 @@ import struct
 import numpy as np
 
 from lexloom.codecs.keystream import masked
+from lexloom.codecs.prefix import Bits, Decoder
 
 #: Fixed values of the format.
 MAGIC = b"CompressedBG___\0"
 _HEADER = struct.Struct("<16sHHi8xiiiBBh")
+SMALLEST = _HEADER.size
 
 
 def is_image(data: bytes) -> bool:
@@ -56,15 +58,21 @@ def tree(weights: list[int]) -> tuple[dict[int, tuple[int, int]], int]:
         made += 1
 
 
+def _codes(branches: dict[int, tuple[int, int]], root: int) -> dict[int, tuple[int, int]]:
+    """byte -> (code, bits)"""
+    out, walk = {}, [(root, 0, 0)] if root >= 0 else []
+    while walk:
+        node, code, n = walk.pop()
+        if node > 0xFF:
+            walk += [(child, code << 1 | i, n + 1) for i, child in enumerate(branches[node]) if child >= 0]
+        else:
+            out[node] = (code, n)
+    return out
+
+
 def _unhuffman(src: bytes, size: int, branches: dict[int, tuple[int, int]], root: int) -> bytes:
-    bits = iter(np.unpackbits(np.frombuffer(src, np.uint8)).tolist())
-    out = bytearray()
-    for _ in range(size):
-        node = root
-        while node > 0xFF:
-            node = branches[node][next(bits)]
-        out.append(node)
-    return bytes(out)
+    codes, bits = Decoder(_codes(branches, root)), Bits(src)
+    return bytes(codes.next(bits) for _ in range(size))
 
 
 def _expand_zeros(src: bytes) -> bytes:
@@ -108,15 +116,24 @@ def load(data: bytes) -> tuple[int, int, int, np.ndarray]:
     branches, root = tree(weights)
     packed = _unhuffman(data[_HEADER.size + keyed :], unpacked if root >= 0 else 0, branches, root)
     deltas = np.frombuffer(_expand_zeros(packed)[: w * h * bpp // 8], np.uint8).reshape(h, w, bpp // 8).astype(np.int64)
-    out = np.zeros_like(deltas)
+    return w, h, bpp, _unfilter(deltas).astype(np.uint8)
+
+
+def _unfilter(deltas: np.ndarray) -> np.ndarray:
+    """Pixels are deltas to the mean of the left and the upper one (to the one there is, at an
+    edge). Both are on the diagonal before, so diagonals are made one by one."""
+    h, w, channels = deltas.shape
     if not w or not h:
-        return w, h, bpp, out.astype(np.uint8)
-    out[0] = np.cumsum(deltas[0], axis=0) & 0xFF
-    for y in range(1, h):
-        out[y, 0] = out[y - 1, 0] + deltas[y, 0] & 0xFF
-        for x in range(1, w):
-            out[y, x] = (out[y, x - 1] + out[y - 1, x]) // 2 + deltas[y, x] & 0xFF
-    return w, h, bpp, out.astype(np.uint8)
+        return deltas
+    out, before = np.zeros_like(deltas), np.zeros((h + 1, channels), np.int64)  # before: by row, after one empty row
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up = before[y + 1], before[y]
+        guess = np.where((y == 0)[:, None], left, np.where((x == 0)[:, None], up, (left + up) // 2))
+        out[y, x] = guess + deltas[y, x] & 0xFF
+        before[y + 1] = out[y, x]
+    return out
 
 
 def save(pixels: np.ndarray, key: int = 0x1234) -> bytes:
@@ -131,14 +148,7 @@ def save(pixels: np.ndarray, key: int = 0x1234) -> bytes:
     packed = _zeros((deltas & 0xFF).astype(np.uint8).tobytes())
     weights = np.bincount(np.frombuffer(packed, np.uint8), minlength=256).tolist()
     branches, root = tree(weights)
-    codes: dict[int, str] = {}
-    walk = [(root, "")] if root >= 0 else []
-    while walk:
-        node, code = walk.pop()
-        if node > 0xFF:
-            walk += [(child, code + str(i)) for i, child in enumerate(branches[node]) if child >= 0]
-        else:
-            codes[node] = code
+    codes = {b: f"{code:0{n}b}" for b, (code, n) in _codes(branches, root).items()}
     bits = "".join(codes[b] for b in packed)
     stream = np.packbits(np.frombuffer(bits.encode(), np.uint8) - 48).tobytes() if bits else b""
     table = b"".join(map(_varint, weights))

@@ -12,6 +12,7 @@ import struct
 
 from lexloom.codecs.keystream import masked
 from lexloom.codecs.lz import Window
+from lexloom.codecs.prefix import Bits, Decoder
 
 #: Fixed values of the format.
 MAGIC = b"DSC FORMAT 1.00\0"
@@ -87,12 +88,12 @@ def compress(data: bytes, level: int = 0, seed: int = 0) -> bytes:
         bits, n = bits << size | code, n + size
         if s & 0x100:
             bits, n = bits << OFFSET_BITS | offset, n + OFFSET_BITS
-        while n >= 8:
-            n -= 8
-            out.append(bits >> n & 0xFF)
-        bits &= (1 << n) - 1
-    if n:
-        out.append(bits << (8 - n) & 0xFF)
+        if n >= 64:
+            whole, n = n >> 3, n & 7
+            out += (bits >> n).to_bytes(whole, "big")
+            bits &= (1 << n) - 1
+    tail = -n & 7
+    out += (bits << tail).to_bytes((n + tail) >> 3, "big")
     return _HEADER.pack(MAGIC, key, len(data), len(symbols), 0) + table + bytes(out)
 
 
@@ -103,36 +104,20 @@ def decompress(data: bytes) -> bytes:
     if not 0 <= size <= LARGEST:
         raise ValueError(f"unpacked size {size} is out of bounds")
     lengths = masked(data[_HEADER.size : _HEADER.size + SYMBOLS], key, -1)
-    leaves = {(n, code): s for s, (code, n) in canonical(dict(enumerate(lengths))).items()}
-    src, at, bits, held = data[_HEADER.size + SYMBOLS :], 0, 0, 0
-    out = bytearray()
-
-    def take(n: int) -> int:
-        nonlocal at, bits, held
-        while held < n:
-            if at >= len(src):
-                raise ValueError("the bit stream ends early")
-            bits, held, at = bits << 8 | src[at], held + 8, at + 1
-        held -= n
-        value = bits >> held
-        bits &= (1 << held) - 1
-        return value
-
+    codes = Decoder(canonical(dict(enumerate(lengths))))
+    src, out = Bits(data[_HEADER.size + SYMBOLS :]), bytearray()
     while len(out) < size:
-        code, n = 0, 0
-        while (n, code) not in leaves:
-            code, n = code << 1 | take(1), n + 1
-            if n > 255:
-                raise ValueError("no such code")
-        s = leaves[n, code]
+        s = codes.next(src)
         if s < 0x100:
             out.append(s)
             continue
-        start = len(out) - take(OFFSET_BITS) - NEAREST
+        start = len(out) - src.take(OFFSET_BITS) - NEAREST
         if start < 0:
             raise ValueError("a copy starts before the text")
-        for i in range((s & 0xFF) + SHORTEST):  # a copy may run into itself
-            out.append(out[start + i])
+        length, piece = (s & 0xFF) + SHORTEST, out[start : start + (s & 0xFF) + SHORTEST]
+        while len(piece) < length:  # a copy may run into itself
+            piece += piece
+        out += piece[:length]
     return bytes(out[:size])
 
 

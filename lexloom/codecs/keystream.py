@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
+
+import numpy as np
 
 #: Multipliers: fixed values of the format.
 LOW, MIDDLE = 20021, 346
@@ -19,6 +23,12 @@ def keystream(seed: int) -> Iterator[int]:
         yield high & 0x7FFF
 
 
+@lru_cache(maxsize=256)
+def _low_bytes(seed: int, n: int) -> np.ndarray:
+    return np.fromiter(islice(keystream(seed), n), np.uint16, n).astype(np.uint8)
+
+
 def masked(data: bytes, seed: int, sign: int) -> bytes:
     """Add (sign 1) or subtract (sign -1) the keystream's low bytes."""
-    return bytes((b + sign * k) & 0xFF for b, k in zip(data, keystream(seed), strict=False))
+    x, low = np.frombuffer(data, np.uint8), _low_bytes(seed, len(data))
+    return (x + low if sign > 0 else x - low).tobytes()

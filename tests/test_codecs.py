@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lexloom.codecs import cbg, dsc, images, lz
+from lexloom.codecs import cbg, dsc, images, lz, prefix
 from lexloom.codecs.keystream import keystream, masked
 
 
@@ -58,6 +58,47 @@ def test_lz_matches_do_not_run_past_the_end():
     assert w.longest(base, 5) == (1, 1)
 
 
+def _search(data: bytes, seek: bytes, near: int, most: int, improvements: int) -> tuple[int, int]:
+    """Plain search, newest place first."""
+    best, length, n = -1, 0, len(data)
+    for p in range(n - near - 1, max(0, n - (4096 - near)) - 1, -1):
+        if improvements <= 0:
+            break
+        m = 0
+        while m < min(len(seek), most, n - p) and data[p + m] == seek[m]:
+            m += 1
+        if m > length:
+            best, length, improvements = p, m, improvements - 1
+    return best, length
+
+
+@pytest.mark.parametrize(("near", "most", "improvements"), [(0, 99, 4096), (3, 7, 30), (3, 257, 2)])
+def test_lz_against_a_plain_search(near, most, improvements):
+    rnd = random.Random(near + most)
+    w, put = lz.Window(), b""
+    for _ in range(150):
+        part = bytes(rnd.choice(b"aab") for _ in range(rnd.randint(1, 900)))
+        w.put(part)
+        put += part
+        seek = bytes(rnd.choice(b"aab") for _ in range(rnd.randint(1, 12))) if rnd.random() < 0.5 else put[-rnd.randint(1, 4000) :][:12]
+        assert w.longest(seek, 0, most, near, improvements) == _search(put, seek, near, most, improvements)
+
+
+def test_prefix_codes_longer_than_the_table():
+    codes = {n: ((1 << (n + 1)) - 2, n + 1) for n in range(30)} | {30: ((1 << 30) - 1, 30)}
+    rnd = random.Random(1)
+    said = [rnd.randrange(31) for _ in range(500)]
+    bits = "".join(f"{codes[x][0]:0{codes[x][1]}b}" for x in said)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    decoder, src = prefix.Decoder(codes), prefix.Bits(data)
+    assert [decoder.next(src) for _ in said] == said
+    with pytest.raises(ValueError, match="early"):
+        for _ in range(20):
+            decoder.next(src)
+    with pytest.raises(ValueError, match="no such code"):
+        prefix.Decoder({1: (0, 1), 2: (2, 2)}).next(prefix.Bits(b"\xff"))
+
+
 def test_keystream():
     values = keystream(0)
     # state 0 -> 0, then state 1 -> 346, by the recurrence
@@ -110,3 +151,57 @@ def test_overlay_and_export():
     size = struct.unpack(">I", png[at - 4 : at])[0]
     assert zlib.decompress(png[at + 4 : at + 4 + size]) == (b"\0" + bytes([100] * 16)) * 4
     assert len(images.to_tga(base)) == 18 + 64
+
+
+def _png(w, h, depth, form, rows, extra=b""):
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    packed = zlib.compress(b"".join(rows))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, form, 0, 0, 0))
+    return images.PNG + head + extra + chunk(b"IDAT", packed[:7]) + chunk(b"IDAT", packed[7:]) + chunk(b"IEND", b"")
+
+
+def test_png_round_trip_and_filters():
+    rng = np.random.default_rng(2)
+    px = rng.integers(0, 256, (9, 6, 4)).astype(np.uint8)
+    assert images.kind(images.to_png(px)) == "PNG" and (images.load(images.to_png(px))[3] == px).all()
+    rgba = px[:, :, [2, 1, 0, 3]].reshape(9, 24).astype(np.int64)
+    rows = []
+    for y in range(9):
+        left = np.concatenate([np.zeros(4, np.int64), rgba[y, :-4]])
+        up = rgba[y - 1] if y else np.zeros(24, np.int64)
+        corner = np.concatenate([np.zeros(4, np.int64), up[:-4]])
+        d = np.stack([np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)])
+        paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], up, corner))
+        guess = [np.zeros(24, np.int64), left, up, (left + up) // 2, paeth][y % 5]
+        rows.append(bytes([y % 5]) + ((rgba[y] - guess) & 0xFF).astype(np.uint8).tobytes())
+    assert (images.from_png(_png(6, 9, 8, 6, rows)) == px).all()
+
+
+def test_png_kinds():
+    gray = images.from_png(_png(3, 1, 8, 0, [b"\0\x01\x02\x03"]))
+    assert gray.tolist() == [[[1, 1, 1, 255], [2, 2, 2, 255], [3, 3, 3, 255]]]
+    bits = images.from_png(_png(3, 1, 1, 0, [b"\0\xa0"]))
+    assert bits[0, :, 0].tolist() == [255, 0, 255]
+    deep = images.from_png(_png(1, 1, 16, 2, [b"\0\x01\xff\x02\xff\x03\xff"]))
+    assert deep.tolist() == [[[3, 2, 1, 255]]]
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + b"\0\0\0\0"
+    table = images.from_png(_png(3, 1, 4, 3, [b"\0\x01\x00"], chunk(b"PLTE", bytes([1, 2, 3, 4, 5, 6])) + chunk(b"tRNS", b"\x07")))
+    assert table.tolist() == [[[3, 2, 1, 7], [6, 5, 4, 255], [3, 2, 1, 7]]]
+    with pytest.raises(ValueError):
+        images.from_png(b"plain")
+
+
+@pytest.mark.parametrize(("channels", "mode"), [(3, 3), (4, 3), (1, 1), (2, 1)])
+def test_psd(channels, mode):
+    planes = np.random.default_rng(3).integers(0, 3, (channels, 4, 5)).astype(np.uint8)
+    head = images.PSD + bytes(6) + struct.pack(">HIIHH", channels, 4, 5, 8, mode) + struct.pack(">I", 0) + struct.pack(">I", 3) + b"abc" + struct.pack(">I", 0)
+    lines = []
+    for row in planes.reshape(-1, 5):
+        run = bytes([257 - 5, row[0]]) if (row == row[0]).all() else bytes([1, *row[:2]]) + bytes([128, 2, *row[2:]])
+        lines.append(run)
+    sizes = struct.pack(f">{len(lines)}H", *map(len, lines))
+    for data in (head + b"\0\0" + planes.tobytes(), head + b"\0\1" + sizes + b"".join(lines)):
+        w, h, bpp, px = images.load(data)
+        color = planes[[2, 1, 0]] if mode == 3 else planes[[0, 0, 0]]
+        alpha = planes[-1] if channels in (2, 4) else np.full((4, 5), 255)
+        assert (w, h, bpp) == (5, 4, 32) and (px[:, :, :3] == color.transpose(1, 2, 0)).all() and (px[:, :, 3] == alpha).all()
