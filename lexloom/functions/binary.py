@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from lexloom.codecs import dsc
+from lexloom.codecs import cbg, dsc, images, keystream
 
 
 def uint(c: Column, offset: Column | int, size: int = 4) -> Column:
@@ -69,6 +69,38 @@ def is_compressed(c: Column) -> Column:
     return starts_with(c, dsc.MAGIC)
 
 
+def kind(c: Column) -> Column:
+    """DSC, CBG, PNG, PSD, RAWIMG or RAW: what a binary value holds, by its first bytes."""
+    w, h, bpp = sint(c, 0, 2), sint(c, 2, 2), sint(c, 4)
+    side = lambda x: (x > 0) & (x < images.SIDE)
+    raw = (F.octet_length(c) >= 16) & side(w) & side(h) & (bpp > 0) & (bpp <= 32) & (bpp % 8 == 0) & (sint(c, 8) == 0) & (sint(c, 12) == 0)
+    out = F.when(is_compressed(c), "DSC").when(starts_with(c, cbg.MAGIC) & (F.octet_length(c) >= cbg.SMALLEST), "CBG")
+    return out.when(starts_with(c, images.PNG), "PNG").when(starts_with(c, images.PSD), "PSD").when(F.coalesce(raw, F.lit(False)), "RAWIMG").otherwise("RAW")
+
+
+def keystream_values(seed: Column, n: int) -> Column:
+    """The first n values of the codec headers' keystream, as an array of longs."""
+    mask = lambda x: x.bitwiseAND(0xFFFFFFFF)
+
+    def step(a: Column, _: Column) -> Column:
+        v = a["v"]
+        low = mask(F.lit(keystream.LOW) * low_word(v))
+        high = mask(F.lit(keystream.LOW) * F.shiftrightunsigned(v, 16) + F.lit(keystream.MIDDLE) * v + F.shiftrightunsigned(low, 16))
+        after = mask(F.shiftleft(low_word(high), 16) + low_word(low) + 1)
+        return F.struct(after.alias("v"), F.concat(a["out"], F.array(high.bitwiseAND(0x7FFF))).alias("out"))
+
+    zero = F.struct(mask(seed.cast("long")).alias("v"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), zero, step, lambda a: a["out"])
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan dealt to all cores where it has fewer partitions than there are cores:
+    codecs cost far more than such a shuffle. A scan of enough partitions stays as it is. (Behind
+    a shuffle, counting partitions would run it.)"""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 @F.pandas_udf(BinaryType())
 def dsc_decompress(data: pd.Series) -> pd.Series:
     """Unpack; what isn't packed stays."""

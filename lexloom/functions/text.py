@@ -41,8 +41,10 @@ def quote(c: Column) -> Column:
 
 
 def unquote(c: Column) -> Column:
-    """A quoted catalog string's text."""
-    return unescape_controls(F.substring(c, F.lit(2), F.length(c) - 2))
+    """A quoted catalog string's text. A backslash that escapes nothing is an error."""
+    inner = F.substring(c, F.lit(2), F.length(c) - 2)
+    checked = F.when(ends_in_backslash(inner), F.raise_error(F.concat(F.lit("an escape without its character: "), c)).cast("string")).otherwise(inner)
+    return unescape_controls(checked)
 
 
 def slice_text(c: Column, start: int, length: int | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,16 @@ def translated(rows: DataFrame, translations: DataFrame, keys: list[str], value:
     return out.withColumn("translated", F.coalesce("__said", value)).drop("__said")
 
 
+def missing(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """The rows whose key does not exist yet."""
+    return rows.join(existing.select(key), key, "left_anti")
+
+
+def each_once(c: Column) -> Column:
+    """An array's values in order, repeated ones at their first place only."""
+    return F.array_distinct(c)
+
+
 def apply_memory(entries: DataFrame, memory: DataFrame) -> DataFrame:
     """PO entries filled from an older memory (file, id, put_idx, original, text, comments) of
     the same file by source text. Of equal sources the last counts; the document's own entry (id
@@ -30,7 +43,7 @@ def apply_memory(entries: DataFrame, memory: DataFrame) -> DataFrame:
     out = entries.join(best, ["file", "msgid"], "left")
     more = F.transform(F.coalesce("m.comments", F.array().cast("array<string>")), lambda c: F.concat(F.lit(" "), F.trim(c)))
     said = F.coalesce(F.nullif(F.col("m.text"), F.lit("")), F.col("msgstr"))
-    return out.select("file", "entry_idx", "msgid", said.alias("msgstr"), F.array_distinct(F.concat("comments", more)).alias("comments"))
+    return out.select("file", "entry_idx", "msgid", said.alias("msgstr"), each_once(F.concat("comments", more)).alias("comments"))
 
 
 def first_match(rows: DataFrame, names: DataFrame, name: str, suffixes: list[str]) -> DataFrame:
@@ -62,15 +75,30 @@ def token_total(rows: DataFrame, c: str, file: str = "file", order: str = "entry
 
     Only the punctuation that ends one text and that starts the next can be one token. So the
     total is the sum over texts less the places where both sides are punctuation: counted per
-    file by a window, and across files over one row per file."""
+    file by a window, across files of a range of names in one pass over the range, and across
+    ranges over one row per range."""
     counted = F.size(T.tokens(F.col(c)) if tokens is None else tokens)
     ends = F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
     rows = rows.where(F.col(c).rlike(r"\S")).select(F.col(file).alias("f"), F.col(order).alias("o"), counted.alias("n"), (~F.substring(ends, 1, 1).rlike(word)).alias("head"), (~F.substring(ends, -1, 1).rlike(word)).alias("tail"))
     w = Window.partitionBy("f").orderBy("o")
     rows = rows.withColumn("merged", F.coalesce(F.lag("tail").over(w) & F.col("head"), F.lit(False)))
     files = rows.groupBy("f").agg(F.sum("n").alias("n"), F.count_if("merged").alias("m"), F.min_by("head", "o").alias("head"), F.max_by("tail", "o").alias("tail"))
-    files = files.withColumn("merged", F.coalesce(F.lag("tail").over(Window.orderBy("f")) & F.col("head"), F.lit(False)))
-    return files.agg(F.coalesce(F.sum(F.col("n") - F.col("m") - F.col("merged").cast("int")), F.lit(0)).alias("n_tokens"))
+    ranges = files.repartitionByRange("f").sortWithinPartitions("f").mapInPandas(_one_range, files.schema)
+    ranges = ranges.withColumn("merged", F.coalesce(F.lag("tail").over(Window.orderBy("f")) & F.col("head"), F.lit(False)))
+    return ranges.agg(F.coalesce(F.sum(F.col("n") - F.col("m") - F.col("merged").cast("int")), F.lit(0)).alias("n_tokens"))
+
+
+def _one_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows (f, n, m, head, tail) -> one row for all of them."""
+    whole = None
+    for b in batches:
+        if not len(b):
+            continue
+        rows = b if whole is None else pd.concat([whole, b])
+        merged = int((rows["head"].to_numpy(bool)[1:] & rows["tail"].to_numpy(bool)[:-1]).sum())
+        whole = pd.DataFrame({"f": rows["f"].iloc[:1], "n": [rows["n"].sum()], "m": [rows["m"].sum() + merged], "head": rows["head"].iloc[:1], "tail": [rows["tail"].iloc[-1]]})
+    if whole is not None:
+        yield whole
 
 
 def merge_intervals(rows: DataFrame, key: str, low: str, high: str) -> DataFrame:

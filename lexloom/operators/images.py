@@ -13,9 +13,9 @@ from lexloom.codecs import dsc, images
 from lexloom.operators.catalogs import first_match
 from lexloom.schemas import IMAGE
 
-#: Suffixes of catalog files in order of priority, and what each does.
+#: Suffixes of catalog files in order of priority: a file replaces an image or is drawn over it.
+SUFFIXES = [".psd", ".patch.psd", ".png", ".patch.png"]
 REPLACE, OVERLAY = ".png", ".patch.png"
-SUFFIXES = [REPLACE, OVERLAY]
 
 
 def decode(blobs: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def encode(table: DataFrame, form: str = "raw", level: int = -1) -> DataFrame:
 def choose(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Entries (name) that the catalog (name) replaces or overlays, with the file that does. Names
     are joined before any payload is read or decoded."""
-    return first_match(entries, catalog, "name", SUFFIXES).withColumn("overlays", F.col("matched").endswith(OVERLAY))
+    return first_match(entries, catalog, "name", SUFFIXES).withColumn("overlays", F.col("priority") % 2 == 1)
 
 
 def overlay(pairs: DataFrame) -> DataFrame:
@@ -58,3 +58,22 @@ def overlay(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], "content": out})
 
     return pairs.select("path", "content", "patch").mapInPandas(run, "path string, content binary")
+
+
+def changed(entries: DataFrame, catalog: DataFrame, level: int = 9) -> DataFrame:
+    """The entries (arc, k, name, payload) that a catalog of image files (name, content) replaces
+    or is drawn over, with their new payload: a raw image, packed. Names meet first, so only
+    payloads that change are read and decoded."""
+    chosen = choose(entries.select("name").distinct(), catalog)
+    files = catalog.select(F.col("name").alias("matched"), F.col("content").alias("file"))
+    rows = entries.join(chosen.join(files, "matched").select("name", "overlays", "file"), "name")
+
+    @F.pandas_udf("binary")
+    def made(payload: pd.Series, file: pd.Series, overlays: pd.Series) -> pd.Series:
+        out = []
+        for p, f, over in zip(payload, file, overlays, strict=True):
+            new = images.load(bytes(f))[3]
+            out.append(dsc.compress_checked(images.save_raw(images.overlay(images.load(bytes(p))[3], new) if over else new), level))
+        return pd.Series(out)
+
+    return rows.select("arc", "k", "name", made("payload", "file", "overlays").alias("payload"))

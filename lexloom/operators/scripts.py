@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ def _so_far() -> WindowSpec:
 
 def current_line(ops: DataFrame) -> DataFrame:
     """Adds `line`: the number of the latest line op, 0 before the first."""
-    number = F.when(F.col("type") == LINE, F.col("args")[1]["i"])
+    number = F.when(F.col("type") == LINE, F.get("args", F.lit(1))["i"])
     return ops.withColumn("line", F.coalesce(F.last(number, ignorenulls=True).over(_so_far()), F.lit(0)))
 
 
@@ -32,23 +35,29 @@ def byte_sizes(ops: DataFrame) -> DataFrame:
     return ops.withColumn("size", size).withColumn("pos", F.sum(size).over(_so_far()) - size)
 
 
-def _texts(ops: DataFrame, pushes: list[int], clears: bool) -> DataFrame:
-    """Text ops with the two pushes on top of the stack (structs of op_idx and argument). A line
-    op empties the stack; so does a text op if `clears`."""
+def stack_top(ops: DataFrame, pushes: list[int], clears: bool) -> DataFrame:
+    """Text ops with `line` and `pair`, the two pushes on top of the stack (body and under it
+    title, each its op_idx and argument; null where there is none). A line op empties the stack;
+    so does a text op if `clears`."""
     rows = current_line(ops)
     resets = (F.col("type") == LINE).cast("int")
     if clears:
         resets = resets + F.coalesce(F.lag((F.col("type") == TEXT).cast("int")).over(_by_file()), F.lit(0))
     rows = rows.withColumn("grp", F.sum(resets).over(_so_far()))
     session = Window.partitionBy("file", "grp").orderBy("op_idx")
-    push = F.when(F.col("type").isin(pushes), F.struct("op_idx", F.col("args")[0].alias("arg")))
+    push = F.when(F.col("type").isin(pushes), F.struct("op_idx", F.get("args", F.lit(0)).alias("arg")))
     # what was on top when a push came is now second
     rows = rows.withColumn("under", F.last(push, ignorenulls=True).over(session.rowsBetween(Window.unboundedPreceding, -1)))
     pair = F.when(push.isNotNull(), F.struct(push.alias("body"), F.col("under").alias("title")))
     rows = rows.withColumn("pair", F.last(pair, ignorenulls=True).over(session.rowsBetween(Window.unboundedPreceding, 0)))
-    texts = rows.where(F.col("type") == TEXT)
+    return rows.where(F.col("type") == TEXT).drop("grp", "under")
+
+
+def _texts(ops: DataFrame, pushes: list[int], clears: bool) -> DataFrame:
+    """stack_top, where every text must have both."""
+    texts = stack_top(ops, pushes, clears)
     fail = F.raise_error(F.concat(F.lit("a text without title and body in "), "file"))
-    return texts.withColumn("pair", F.when(F.col("pair.title").isNull(), F.struct(F.lit(None).cast(texts.schema["pair"].dataType["body"].dataType).alias("body"), F.lit(None).cast(texts.schema["pair"].dataType["title"].dataType).alias("title"))).otherwise(F.col("pair"))).withColumn("line", F.when(F.col("pair.title").isNull(), fail.cast("int")).otherwise(F.col("line")))
+    return texts.withColumn("line", F.when(F.col("pair.title").isNull(), fail.cast("int")).otherwise(F.col("line")))
 
 
 def _string(push: str) -> Column:
@@ -71,16 +80,28 @@ def extract_keyed(ops: DataFrame) -> DataFrame:
     return rows.select("file", "id", (F.row_number().over(Window.partitionBy("file").orderBy("o")) - 1).alias("put_idx"), "original")
 
 
-def translate(ops: DataFrame, translations: DataFrame) -> DataFrame:
+def _calling(function: Callable) -> Callable[..., Column]:
+    @F.pandas_udf("string")
+    def run(line: pd.Series, full: pd.Series, title: pd.Series, body: pd.Series) -> pd.Series:
+        return pd.Series([function(*x) for x in zip(line, full, title, body, strict=True)], dtype=object)
+
+    return run
+
+
+def translate(ops: DataFrame, translations: DataFrame | Callable[[int, str, str | None, str], str | None]) -> DataFrame:
     """Ops with texts replaced by translations (file, id, text), by line; without one a text
-    stays. Titled translations are `{title}`, a line break and the body.
+    stays. Titled translations are `{title}`, a line break and the body. Instead of a table a
+    function of (line, whole text, title, body) can be given; it runs in Arrow batches.
 
     Ints, pointers and strings count as pushed and a text empties the stack. Counts and sizes of
     ops do not change, so pointers stay right."""
     texts = _texts(ops, [PUSH_INT, PUSH_PTR, PUSH_STR], True).select("file", "line", F.col("pair.title.op_idx").alias("title_idx"), F.col("pair.body.op_idx").alias("body_idx"), _string("pair.title").alias("title"), _string("pair.body").alias("body"))
     body = F.coalesce("body", F.raise_error(F.concat(F.lit("a text whose body is no string in "), "file")).cast("string"))
     texts = texts.withColumn("body", body)
-    found = texts.join(translations.select("file", F.col("id").alias("line"), F.col("text").alias("said")), ["file", "line"], "left")
+    if isinstance(translations, DataFrame):
+        found = texts.join(translations.select("file", F.col("id").alias("line"), F.col("text").alias("said")), ["file", "line"], "left")
+    else:
+        found = texts.withColumn("said", _calling(translations)("line", T.message(F.col("title"), F.col("body")), "title", "body"))
     full = F.coalesce(F.nullif(T.straight_quotes(F.col("said")), F.lit("")), T.message(F.col("title"), F.col("body")))
     titled = F.coalesce(F.col("title").rlike(r"\S"), F.lit(False))
     whole = F.when(titled & ~F.col("full").contains("\n"), F.raise_error(F.concat(F.lit("a titled text without a body: "), "full")).cast("string")).otherwise(F.col("full"))
@@ -162,6 +183,7 @@ def _patched(table: pa.Table) -> pa.Table:
             wanted = next((h for most, h in HEIGHTS if len(text) <= most), NORMAL)
             if SMALLEST <= height <= NORMAL and wanted != height:
                 number = lambda code, v: [None, code, [{"kind": "INT", "i": v, "s": None}]]
+                # the inserted ops and their operands: fixed values of the format
                 patch = [number(PUSH_INT, 2), number(PUSH_INT, wanted), number(PUSH_INT, wanted), number(PUSH_INT, 0), number(CALL, 4), [None, SIZE, []]]
                 out[line_at:line_at] = patch
                 stack = [(v, p if p is None or p < line_at else p + len(patch)) for v, p in stack]
@@ -187,7 +209,7 @@ def listing(ops: DataFrame) -> DataFrame:
     """file, op_idx, pos, shown: a line of text per op."""
     name = F.coalesce(F.create_map(*[x for k, v in NAMES.items() for x in (F.lit(k), F.lit(v))])[F.col("type")], F.format_string("OP_%03X", "type"))
     args = F.array_join(F.transform("args", lambda a: F.coalesce(F.concat(F.lit("'"), a["s"], F.lit("'")), a["i"].cast("string"))), ", ")
-    line = F.format_string("\n%s_%d:", F.col("args")[0]["s"], F.col("args")[1]["i"])
+    line = F.format_string("\n%s_%d:", F.get("args", F.lit(0))["s"], F.get("args", F.lit(1))["i"])
     return byte_sizes(ops).select("file", "op_idx", "pos", F.when(F.col("type") == LINE, line).otherwise(F.concat(name, F.lit("("), args, F.lit(")"))).alias("shown"))
 
 

@@ -79,7 +79,9 @@ def pack_folder(spark, folder: str, level: int = 9) -> str:  # noqa: ANN001
         raise ValueError(f"not an .arc.d folder: {folder}")
     to = folder.removesuffix(".d")
     files = read_files(spark, folder).where(~F.col("arc").startswith(".")).withColumnRenamed("arc", "name")
-    rows = files.select(F.lit(os.path.basename(to)).alias("arc"), (F.row_number().over(Window.orderBy("name")) - 1).alias("k"), "name", F.col("content").alias("payload"))
+    # one archive's names are numbered in one task, without the contents
+    order = files.select("name").withColumn("k", F.row_number().over(Window.orderBy("name")) - 1)
+    rows = files.join(order, "name").select(F.lit(os.path.basename(to)).alias("arc"), "k", "name", F.col("content").alias("payload"))
     if os.path.exists(to):
         backup_once(to)
     write_files(build(rows, level), os.path.dirname(to), "arc", "content")

@@ -48,31 +48,44 @@ def get(table: DataFrame, name: str) -> DataFrame:
     return one.select(F.when(F.col("x").isNull(), F.raise_error(F.lit(f"no entry {name}"))).alias("__e"), "x").select(F.coalesce("x", F.col("__e").cast(table.select(fields.alias("x")).schema["x"].dataType)).alias("x")).select("x.*")
 
 
-class _Entry(InputPartition):
-    def __init__(self, arc: str, k: int, name: str, start: int, size: int, at: int) -> None:
-        self.arc, self.k, self.name, self.start, self.size, self.at = arc, k, name, start, size, at
+#: Bytes of payload that one partition of the `arc` source reads, an entry at least.
+RUN = 8 << 20
+
+
+class _Entries(InputPartition):
+    """A run of entries: (k, name, start, size) each, and where the payloads begin."""
+
+    def __init__(self, arc: str, rows: list[tuple[int, str, int, int]], at: int) -> None:
+        self.arc, self.rows, self.at = arc, rows, at
 
 
 class _Reader(DataSourceReader):
-    """One partition per entry: a table of entries, each read where it is needed."""
+    """One partition per run of entries, each read where it is needed."""
 
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def partitions(self) -> list[_Entry]:
+    def partitions(self) -> list[_Entries]:
         with open(self.path, "rb") as f:
             head = f.read(HEAD)
             if head[:12] != MAGIC:
                 raise ValueError(f"not an archive: {self.path}")
             n = struct.unpack("<i", head[12:])[0]
-            rows = [struct.unpack("<16sii8x", f.read(ROW)) for _ in range(n)]
+            table = [struct.unpack("<16sii8x", f.read(ROW)) for _ in range(n)]
+        runs, held = [], RUN
+        for k, (name, start, size) in enumerate(table):
+            if held >= RUN:
+                runs, held = [*runs, []], 0
+            runs[-1].append((k, name.split(b"\0")[0].decode("latin-1"), start, size))
+            held += size + ROW
         arc = self.path.rsplit("/", 1)[-1]
-        return [_Entry(arc, k, name.split(b"\0")[0].decode("latin-1"), start, size, HEAD + n * ROW + start) for k, (name, start, size) in enumerate(rows)]
+        return [_Entries(arc, rows, HEAD + n * ROW) for rows in runs] or [_Entries(arc, [], 0)]
 
-    def read(self, partition: _Entry) -> Iterator[tuple]:
+    def read(self, partition: _Entries) -> Iterator[tuple]:
         with open(self.path, "rb") as f:
-            f.seek(partition.at)
-            yield partition.arc, partition.k, partition.name, partition.start, partition.size, f.read(partition.size)
+            for k, name, start, size in partition.rows:
+                f.seek(partition.at + start)
+                yield partition.arc, k, name, start, size, f.read(size)
 
 
 class ArchiveSource(DataSource):

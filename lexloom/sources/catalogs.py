@@ -89,11 +89,12 @@ def po_to_keyed(entries: DataFrame) -> DataFrame:
     return out.select("file", "id", rank.alias("put_idx"), F.col("x.msgid").alias("original"), F.col("x.msgstr").alias("text"), "x.comments")
 
 
-def keyed_to_po(keyed: DataFrame) -> DataFrame:
+def keyed_to_po(keyed: DataFrame, name: F.Column | None = None) -> DataFrame:
     """A PO catalog of (file, id, put_idx, original): a header entry, then one entry per id in
-    order with an empty msgstr and a reference."""
-    header = keyed.select("file").distinct().select("file", F.lit(0).alias("entry_idx"), F.lit("").alias("msgid"), F.lit("Language: \n").alias("msgstr"), F.array(F.concat(F.lit(" Comments for '"), "file", F.lit("'"))).alias("comments"))
-    entries = keyed.select("file", (F.col("put_idx") + 1).alias("entry_idx"), F.col("original").alias("msgid"), F.lit("").alias("msgstr"), F.array(F.format_string(": %s:%d", "file", "id")).alias("comments"))
+    order with an empty msgstr and a reference. name: how references call the file."""
+    name = F.col("file") if name is None else name
+    header = keyed.select("file", name.alias("name")).distinct().select("file", F.lit(0).alias("entry_idx"), F.lit("").alias("msgid"), F.lit("Language: \n").alias("msgstr"), F.array(F.concat(F.lit(" Comments for '"), "name", F.lit("'"))).alias("comments"))
+    entries = keyed.select("file", (F.col("put_idx") + 1).alias("entry_idx"), F.col("original").alias("msgid"), F.lit("").alias("msgstr"), F.array(F.format_string(": %s:%d", name, "id")).alias("comments"))
     return header.unionByName(entries)
 
 

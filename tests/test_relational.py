@@ -3,15 +3,18 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.codecs import dsc
+from lexloom.codecs import images as codec
 from lexloom.functions import binary as B
 from lexloom.functions import text as T
 from lexloom.operators import catalogs as K
 from lexloom.operators import images as I
 from lexloom.operators import scripts as S
-from lexloom.plans import programs
+from lexloom.plans import cli, programs
 from lexloom.sinks import archives as AW
 from lexloom.sinks import scripts as SW
 from lexloom.sources import archives as AR
@@ -69,6 +72,12 @@ def test_po_rejects(spark, bad):
         po(spark, bad).collect()
 
 
+def test_po_rejects_a_lone_backslash(spark):
+    with pytest.raises(Exception, match="an escape without its character"):
+        po(spark, 'msgid "a\\"\nmsgstr ""').collect()
+    assert po(spark, 'msgid "a\\\\"\nmsgstr ""').first()["msgid"] == "a\\"
+
+
 def test_po_round_trip(spark):
     rnd = random.Random(2)
     text = lambda: "".join(rnd.choice(["a", " ", "\n", '"', "\\", "\t", "é", "\\n", "x y"]) for _ in range(rnd.randint(0, 9)))
@@ -260,7 +269,7 @@ def test_programs(spark):
     blob = SW.write_ops(ops(spark, script, "s1"))
     arc = AW.build(blob.select(F.lit("x").alias("arc"), F.lit(0).alias("k"), F.col("file").alias("name"), F.col("content").alias("payload")), level=9)
     made = programs.generate_catalogs(arc).collect()
-    assert [r["file"] for r in made] == ["s1"] and '#: s1:7\nmsgid ""\n"{Bob}\\n"\n"hi"\nmsgstr ""' in made[0]["text"]
+    assert [(r["arc"], r["file"]) for r in made] == [("x", "s1")] and '#: s1:7\nmsgid ""\n"{Bob}\\n"\n"hi"\nmsgstr ""' in made[0]["text"]
     assert programs.generate_catalogs(arc, spark.createDataFrame([("s1",)], "file string")).count() == 0
     text = made[0]["text"].replace('"hi"\nmsgstr ""', '"hi"\nmsgstr "{Eva}\\nhola"')
     lines = C.as_lines(spark.createDataFrame([("s1", text)], "file string, text string"))
@@ -283,3 +292,66 @@ def test_images_by_catalog(spark):
     drawn = I.overlay(blobs.withColumn("patch", F.col("content")))
     assert I.decode(drawn).first()["width"] == 2
     assert bytes(I.encode(px, "png").first()["content"]).startswith(b"\x89PNG")
+
+
+def test_programs_keep_archives_apart(spark):
+    """Two archives with a script of one name."""
+    first = [x for i, x in enumerate(SCRIPT) if i != 4]
+    second = [(LINE, ("file", 7)), (PUSH_STR, ("",)), (PUSH_STR, ("other",)), (TEXT, ())]
+    packed = [SW.write_ops(ops(spark, o, "s1")).select(F.lit(arc).alias("arc"), F.lit(0).alias("k"), F.lit("s1").alias("name"), F.col("content").alias("payload")) for arc, o in (("x", first), ("y", second))]
+    arcs = AW.build(packed[0].union(packed[1]))
+    assert sorted((r["arc"], r["file"], r["text"].count("msgid")) for r in programs.generate_catalogs(arcs).collect()) == [("x", "s1", 3), ("y", "s1", 2)]
+    lines = C.as_lines(spark.createDataFrame([("s1", '#: s1:7\nmsgid "a"\nmsgstr "{Eva}\\nhola"\n')], "file string, text string"))
+    again = S.extract(programs.script_ops(programs.translate_archive(arcs, lines))).orderBy("file", "op_idx").collect()
+    assert [(r["file"], r["title"], r["body"]) for r in again] == [("x/s1", "Eva", "hola"), ("x/s1", "", "alone"), ("y/s1", "", "{Eva}\nhola")]
+
+
+def test_translate_with_a_function(spark):
+    script = [x for i, x in enumerate(SCRIPT) if i != 4]
+    said = lambda line, full, title, body: f"{{{title.strip()}!}}\n{body}{line}" if title else None
+    got = S.extract(S.translate(ops(spark, script), said)).orderBy("op_idx").collect()
+    assert [(r["title"], r["body"]) for r in got] == [("Bob!", "hi7"), ("", "alone")]
+
+
+def test_script_tools(spark):
+    blob = SW.write_ops(ops(spark, [(LINE, ("f", 1)), (PUSH_STR, ("body",)), (PUSH_STR, ("Bob",)), (TEXT, ())], "s1"))
+    text = programs.extract_tagged(blob).first()["text"]
+    assert text == "@1\n<en>{body}\\nBob\n<es>\n"
+    lines = C.as_lines(spark.createDataFrame([("s1", text.replace("<es>", "<es>{Bob}\\nhola"))], "file string, text string"))
+    args = read_ops(programs.patch_tagged(blob, lines)).where("op_idx = 1").first()["args"]
+    assert args[0]["s"] == "hola"
+
+
+def test_images_are_replaced_and_drawn_over(spark):
+    px = lambda *rows: np.array(rows, np.uint8).reshape(1, -1, 4)
+    base = codec.save_raw(px([1, 2, 3, 255], [4, 5, 6, 255]))
+    entries = spark.createDataFrame([("x", 0, "a", bytearray(base)), ("x", 1, "b", bytearray(dsc.compress(base))), ("x", 2, "c", bytearray(b"no image"))], "arc string, k int, name string, payload binary")
+    files = spark.createDataFrame([("a.png", bytearray(codec.to_png(px([9, 9, 9, 255])))), ("b.patch.png", bytearray(codec.to_png(px([9, 8, 7, 255], [0, 0, 0, 0])))), ("z.png", bytearray(b""))], "name string, content binary")
+    blobs = AW.build(entries)
+    made = {r["name"]: bytes(r["payload"]) for r in AR.entries(programs.translate_image_archive(blobs, files)).collect()}
+    assert codec.load(made["a"])[3].tolist() == [[[9, 9, 9, 255]]] and codec.load(made["b"])[3].tolist() == [[[9, 8, 7, 255], [4, 5, 6, 255]]]
+    assert made["c"] == b"no image" and dsc.is_compressed(made["a"])
+    assert sorted(r["name"] for r in programs.translate_images(blobs, files).collect()) == ["a", "b"]
+
+
+def test_token_total_over_ranges(spark):
+    rnd = random.Random(3)
+    texts = [rnd.choice(["Hey!", "{x", "", "  ", "a b", "...", "?! c", "d", "«"]) for _ in range(400)]
+    rows = spark.createDataFrame([(f"f{i // 2:04}", i, t) for i, t in enumerate(texts)], "file string, entry_idx int, t string").repartition(7)
+    joined = "".join(" " + t for t in texts)
+    assert K.token_total(rows, "t").first()[0] == len([x for x in re.split(r"\b", joined) if x.strip()])
+
+
+def test_command_line(spark, tmp_path):
+    folder, texts = tmp_path / "in", tmp_path / "texts"
+    folder.mkdir()
+    blob = SW.write_ops(ops(spark, [(LINE, ("f", 1)), (PUSH_STR, ("body",)), (PUSH_STR, ("Bob",)), (TEXT, ())], "s1")).first()["content"]
+    (folder / "s1").write_bytes(bytes(blob))
+    assert cli.main(["script-extract", str(folder), str(texts)]) == 0
+    text = (texts / "s1.txt").read_text()
+    (texts / "s1.txt").write_text(text.replace("<es>", "<es>{Bob}\\nhola"))
+    assert cli.main(["script-patch", str(folder), str(texts), "--out", str(tmp_path / "out")]) == 0
+    assert b"hola\0" in (tmp_path / "out" / "s1").read_bytes()
+    AW.write_files(_arc(spark), str(tmp_path), "arc", "content")
+    assert cli.main(["extract", str(tmp_path / "x")]) == 0
+    assert (tmp_path / "x.d" / "b").read_bytes() == b"data1"
