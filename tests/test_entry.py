@@ -43,6 +43,5 @@ def test_entry(spark):
     assert set(own.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_queries_without_sql(spark):
-    assert own.QUERIES["lz_longest_match"](spark, DATA).where("len > 0").count() > 0
-    assert own.QUERIES["script_patch"](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(own.QUERIES) == set(own.ORACLES)
