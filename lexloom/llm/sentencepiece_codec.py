@@ -55,6 +55,7 @@ class Codec:
         self.older: dict[str, str] = {}
         self.odd: dict[str, str] = {}
         self.disagreed: set[str] = set()
+        self.fell: set[str] = set()  # segments of the batch at work that fell back to bytes somewhere
         # the matrix agenda: ids of single characters, and per pair of ids its rank and result
         rank = {x: i for i, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.chars = {p: i for p, i in self.ids.items() if len(p) == 1}
@@ -101,6 +102,8 @@ class Codec:
         for s in symbols:
             if s:
                 known = self.ids.get(s)
+                if known is None:
+                    self.fell.add(segment)
                 out += [known] if known is not None else [self.bytes[b] for b in s.encode()]
         return out
 
@@ -149,6 +152,7 @@ class Codec:
             out.append(flat[i : i + n])
             i += n
         for row in np.flatnonzero((done >= unknown).any(axis=1)).tolist():
+            self.fell.add(segments[row])
             out[row] = [y for x in out[row] for y in ([x] if x < unknown else [self.bytes[b] for b in chr(x - unknown).encode()])]
         return out
 
@@ -177,15 +181,18 @@ class Codec:
             merged.update(zip(easy[i : i + 4096], self.merge_many(easy[i : i + 4096]), strict=True))
         order = [*easy, *(s for s in new if s not in merged)]
         theirs = self.library.encode([s[1:] for s in order], num_threads=1)
-        out, pieces, name = {}, self.pieces, self.names
+        out, name = {}, self.names
         for s, their_ids in zip(order, theirs, strict=True):
             ids = merged[s] if s in merged else self.merge(s)
             if ids != their_ids and len(s) > 1:  # the library gives nothing for a mark alone
                 self.disagreed.add(s)
+                self.fell.add(s)
                 ids = their_ids
-            if "".join([pieces[i] for i in ids]) != s and (text := self.unmerge(ids)) != s.replace(MARK, " "):
-                self.odd[s] = text
             out[s] = " ".join([name[i] for i in ids])
+            # pieces merged from a segment's characters spell it; bytes may not
+            if s in self.fell and (text := self.unmerge(ids)) != s.replace(MARK, " "):
+                self.odd[s] = text
+        self.fell.clear()
         return out
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
