@@ -6,6 +6,12 @@ over the table itself what must come out."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -601,3 +607,41 @@ def arc_repack(spark, d):
     return again.select("arc", "name", F.decode(B.dsc_decompress("payload"), "UTF-8").alias("text"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors mount: below spark.checkpoint.dir where that is set; a
+    temporary one in local mode."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors mount")
+    made = os.path.join(named.removeprefix("file://"), f"folder-{uuid.uuid4().hex}") if named else tempfile.mkdtemp(prefix="lexloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
+def _packed_folder(spark: SparkSession, d: str) -> str:
+    """A folder of files, a hidden one among them, packed into the archive beside it; twice, so that
+    the first archive is kept as a copy."""
+    folder = f"{_folder(spark)}/x.arc.d"
+    rows = _t(spark, d, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("name"), "text")
+    AW.write_files(rows, folder, "name", "text")
+    AW.write_files(spark.createDataFrame([(".hidden", "no entry")], "name string, text string"), folder, "name", "text")
+    AW.pack_folder(spark, folder, -1)
+    return AW.pack_folder(spark, folder, 0)
+
+
+_FOLDER_SQL = "SELECT 'x.arc{}' AS arc, (row_number() OVER (ORDER BY 'c-' || conv_id || '-' || turn) - 1)::INT AS k, 'c-' || conv_id || '-' || turn AS name, text FROM conversations"
+
+
+@query(_FOLDER_SQL.format(""))
+def folder_pack(spark, d):
+    """Files of a folder to an archive, whose files are listed and read."""
+    found = AR.read_files(spark, os.path.dirname(_packed_folder(spark, d)), "*.arc")
+    return AR.entries(found).select("arc", "k", "name", F.decode(B.dsc_decompress("payload"), "UTF-8").alias("text"))
+
+
+@query(_FOLDER_SQL.format(".bak"))
+def arc_source(spark, d):
+    """The data source `arc` on the copy of the first archive, which is not packed."""
+    spark.dataSource.register(AR.ArchiveSource)
+    rows = spark.read.format("arc").load(AW.backup_once(_packed_folder(spark, d)))
+    return rows.select("arc", "k", "name", F.decode("payload", "UTF-8").alias("text"))
