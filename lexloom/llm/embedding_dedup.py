@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import components, stored
+from lexloom.llm.common import components, release, stored
 
 #: Vectors in a tile, and their components, of which long vectors make the smaller limit; rows
 #: and columns of a tile product that are made at a time.
 TILE, COMPONENTS, STRIP, ACROSS = 8192, 1 << 21, 512, 2048
+#: Tiles that a table is cut into at least, unless they would have fewer vectors than this.
+TILES, SMALLEST = 24, 512
 #: Pivots, a bounded sample that affects speed only; steps of the angle to a vector's pivot.
 PIVOTS, ANNULI = 16, 64
 #: Slack for rounding of double-precision cosines and of float32 scales.
@@ -251,7 +253,7 @@ def _rows(of: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Tab
     return pa.table({"a": pa.array([*of, *a], pa.int64()), "b": pa.array([*none * len(of), *b], pa.int64()), "n": pa.array([*n, *none * len(a)], pa.int64())})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links (other vectors with cosine >= threshold), component_id (smallest vec_id
     reachable by links), kept (vec_id = component_id); one row per input row.
 
@@ -266,6 +268,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     classes = rows.where("class is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     classes = stored(classes, "embedding-classes")
 
+    if tile is None:  # few vectors make small tiles, so that many tasks share the work
+        tile = min(TILE, max(SMALLEST, -(-classes.count() // TILES)))
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).select("embedding").collect()
     pivots: dict[int, list] = {}
     for r in sample:
@@ -285,6 +289,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     angle = float(np.arccos(np.clip(threshold, -1, 1))) + _SLACK
     met = tiles.mapInArrow(_meetings(ranges, angle), f"u int, v int, {packed}")
     found = stored(met.groupBy("u", "v").applyInArrow(_pair(threshold), "a long, b long, n long"), "embedding-links")
+    release(tiles)
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
     comps = components(found.where("n is null").select("a", "b")).select(F.col("id").alias("rep"), "component")
     known = classes.select("class", "rep", "n").join(counts, "rep", "left").join(comps, "rep", "left")
