@@ -27,7 +27,7 @@ from lexloom.llm.common import slices, small_batches
 
 MARK = "▁"
 #: Segments in each half of the memo; longer segments are not remembered.
-MEMO, LONG = 150_000, 64
+MEMO, LONG = 250_000, 64
 #: Characters of the widest segment in a matrix agenda; the rank of pairs that never merge.
 WIDE, NEVER = 40, np.int32(2**31 - 1)
 
