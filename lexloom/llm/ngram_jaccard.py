@@ -55,9 +55,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 #: children of a node.
 COORDINATES, BUFFER, BLOCK, FANOUT = 256, 1 << 18, 2048, 16
 #: Sets and shingles of a piece of a gathering; sets of a pivot that go to one task.
-PIECE, PIECE_SHINGLES, TOGETHER = 512, 1 << 19, 2048
-#: Shingles of a block of the rest.
-BLOCK_SHINGLES = 1 << 20
+PIECE, PIECE_SHINGLES, TOGETHER = 512, 1 << 19, 512
+#: Shingles of a block of the rest; numbers that keys are hashed to before texts are joined for it.
+BLOCK_SHINGLES, BUCKETS = 1 << 20, 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -446,8 +446,9 @@ def _batched(rows: Callable, types: list[pa.DataType], names: list[str]) -> Call
     return run
 
 
-def gathered(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Gather the pairs (a, b) of nodes by b and search each gathering; texts is (node, text).
+def gathered(pairs: DataFrame, texts: DataFrame, keys: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Gather the pairs (a, b) of nodes by b and search each gathering. texts is (key, text), one
+    row a key that counts, and keys is (node, key).
 
     Returns rows (a, b) that join all that the gatherings found linked, and rows (a, gathering,
     piece): a gathering is cut if it has a piece above 0. Texts travel once to each b; a b of
@@ -455,8 +456,9 @@ def gathered(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).alias("salts")).checkpoint()
     dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
     wanted = dealt.union(sizes.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt")))
+    wanted = wanted.join(keys.withColumnRenamed("node", "a"), "a")
     # texts are joined alike at every size: a side that grows with the input is not broadcast
-    rows = texts.select(F.col("node").alias("a"), "text").join(wanted.hint("merge"), "a")
+    rows = texts.join(wanted.hint("merge"), "key")
     rows = rows.select("b", "salt", "a", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
     return rows.mapInArrow(_gather(k, num, den), _JUDGED)
 
@@ -535,9 +537,9 @@ def _link_block(k: int, num: int, den: int) -> Callable:
     return _batched(rows, [pa.int64(), pa.int64()], ["a", "b"])
 
 
-def rest_links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """members (gathering, node, comp) of cut gatherings, texts (node, text): links (a, b) that
-    join components of one gathering.
+def rest_links(members: DataFrame, texts: DataFrame, keys: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """members (gathering, node, comp) of cut gatherings, texts (key, text), keys (node, key):
+    links (a, b) that join components of one gathering.
 
     A task gets one block of members and one block of probes, those outside the gathering's
     largest component, both of bounded numbers of sets and shingles: at first their points, then
@@ -545,7 +547,12 @@ def rest_links(members: DataFrame, texts: DataFrame, k: int, num: int, den: int)
     by = members.groupBy("gathering", "comp").agg(F.count("*").alias("n"))
     by = by.groupBy("gathering").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("all")).where("inner < all")
     open_ = members.join(by.select("gathering", "main").checkpoint(), "gathering")
-    own_sets = texts.join(open_.select("node").distinct().hint("merge"), "node").mapInArrow(_points(k), "node long, text string, counts binary, size long")
+    wanted = open_.select("node").distinct().join(keys, "node").checkpoint()
+    # few of all texts are wanted: those whose key has another hash need not be shuffled
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
+    there = wanted.select(bucket.alias("bucket")).distinct()  # BUCKETS rows at most
+    few = texts.withColumn("bucket", bucket).join(F.broadcast(there), "bucket", "left_semi").select("key", "text")
+    own_sets = few.join(wanted.hint("merge"), "key").select("node", "text").mapInArrow(_points(k), "node long, text string, counts binary, size long")
     own_sets = stored(own_sets, "jaccard-points")
     held = stored(open_.join(own_sets.select("node", "size"), "node"), "jaccard-held")
     room = lambda cond: F.ceil(F.greatest(F.count_if(cond) / BLOCK, F.sum(F.when(cond, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
@@ -575,7 +582,7 @@ def _own_set(k: int) -> Callable:
             for batch in slices(whole, "text"):
                 same = [_digest(s) == d for s, d in zip(shingle_sets(batch.column("text"), k), batch.column("digest").to_pylist(), strict=True)]
                 kept = batch.filter(pa.array(same, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("text")], ["node", "text"])
+                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("text")], ["key", "text"])
 
     return run
 
@@ -607,12 +614,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     proposed = met.join(at("a"), "a").join(at("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     proposed = stored(proposed.where("a <> b").distinct(), "jaccard-proposed")
 
-    wanted = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct()
-    wanted = wanted.join(reps.select("node", "digest", F.col("rep").alias("doc_id")), "node")
-    involved = texts.join(wanted.hint("merge"), "doc_id")
-    involved = involved.select("node", "digest", "text").mapInArrow(_own_set(k), "node long, text string").dropDuplicates(["node"]) if repeated else involved.select("node", "text")
-    involved = stored(involved, "jaccard-involved")
-    judged = stored(gathered(proposed, involved, k, num, den), "jaccard-judged")
+    if repeated:  # of a document's several texts the one that has a node's set
+        wanted = reps.select("node", "digest", F.col("rep").alias("doc_id"))
+        own = texts.join(wanted.hint("merge"), "doc_id").select("node", "digest", "text").mapInArrow(_own_set(k), "key long, text string")
+        texts, keys = stored(own.dropDuplicates(["key"]), "jaccard-texts"), reps.select("node", F.col("node").alias("key"))
+    else:
+        texts, keys = texts.withColumnRenamed("doc_id", "key"), reps.select("node", F.col("rep").alias("key"))
+    judged = stored(gathered(proposed, texts, keys, k, num, den), "jaccard-judged")
     links = judged.where("b is not null").select("a", "b")
     if repeated:
         links = links.union(_same_document(described, reps))
@@ -623,15 +631,16 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         members = judged.where("gathering is not null").join(cut, "gathering").select("gathering", F.col("a").alias("node"))
         members = members.union(cut.select("gathering", F.col("gathering").alias("node")))
         members = members.join(comps.withColumnRenamed("id", "node"), "node", "left").select("gathering", "node", F.coalesce("component", "node").alias("comp"))
-        more = rest_links(members, involved, k, num, den)
+        more = rest_links(members, texts, keys, k, num, den)
         if more.take(1):
             comps = components(links.union(more)).checkpoint()
         release(more)
-    release(met, proposed, involved, judged)
+    release(met, proposed, judged, texts)
 
     # the smallest document of a component names it
     labels = comps.join(reps.select(F.col("node").alias("id"), "rep"), "id")
-    labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("id").alias("node"), "component_id")
+    first = labels.groupBy("component").agg(F.min("rep").alias("component_id")).checkpoint()
+    labels = labels.join(first, "component").select(F.col("id").alias("node"), "component_id")
     out = described.join(reps.select("digest", "rep", "node"), "digest", "left").join(labels, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
     if repeated:  # rows of one document without a text go with those that have one

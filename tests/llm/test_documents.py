@@ -131,9 +131,9 @@ def test_rest_finds_links_between_pieces(spark):
     base = _words(rnd, 200)
     a = base[:100] + [f"p{i}" for i in range(14)] + base[114:]
     b = base[:100] + [f"p{i}" for i in range(14)] + base[114:198] + ["q1", "q2"]
-    texts = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(a)), (3, " ".join(b)), (4, " ".join(base[:150]))], "node long, text string")
+    texts = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(a)), (3, " ".join(b)), (4, " ".join(base[:150]))], "key long, text string")
     members = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4)], "gathering long, node long, comp long")
-    pairs = {tuple(sorted(r)) for r in ngram_jaccard.rest_links(members, texts, 4, 85, 100).collect()}
+    pairs = {tuple(sorted(r)) for r in ngram_jaccard.rest_links(members, texts, texts.select(F.col("key").alias("node"), "key"), 4, 85, 100).collect()}
     assert pairs == {(2, 3)}
 
 
