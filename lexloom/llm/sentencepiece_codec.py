@@ -27,7 +27,7 @@ from lexloom.llm.common import slices, small_batches
 
 MARK = "▁"
 #: Segments in each half of the memo; longer segments are not remembered.
-MEMO, LONG = 250_000, 64
+MEMO, LONG = 200_000, 64
 #: Characters of the widest segment in a matrix agenda; the rank of pairs that never merge.
 WIDE, NEVER = 40, np.int32(2**31 - 1)
 
@@ -48,7 +48,7 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.byte_of}
         self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
         inner = re.compile(f"[^{MARK}]{MARK}")
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not any(inner.search(p) for p in self.ids) else re.compile("(?s).+")
+        self.cut = re.compile(" *[^ ]+| +") if not any(inner.search(p) for p in self.ids) else re.compile("(?s).+")
         self.names = [str(i) for i in range(len(self.pieces))]
         #: Ids by segment; segments whose decoded text is not their own; segments that differed.
         self.memo: dict[str, str] = {}
@@ -171,26 +171,28 @@ class Codec:
         return "".join(out)
 
     def segments(self, text: str) -> list[str]:
-        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+        """Segments with spaces for marks, as strings of plain letters take less memory."""
+        return self.cut.findall(" " + text.replace(MARK, " ")) if text else []
 
     def learn(self, new: set[str]) -> dict[str, str]:
         """Ids, joined by spaces, of segments; checked against the library."""
         easy = sorted((s for s in new if len(s) <= WIDE and self.lone.isdisjoint(s)), key=len)
         merged: dict[str, list[int]] = {}
         for i in range(0, len(easy), 4096):
-            merged.update(zip(easy[i : i + 4096], self.merge_many(easy[i : i + 4096]), strict=True))
+            part = easy[i : i + 4096]
+            merged.update(zip(part, self.merge_many([s.replace(" ", MARK) for s in part]), strict=True))
         order = [*easy, *(s for s in new if s not in merged)]
         theirs = self.library.encode([s[1:] for s in order], num_threads=1)
         out, name = {}, self.names
         for s, their_ids in zip(order, theirs, strict=True):
-            ids = merged[s] if s in merged else self.merge(s)
+            ids = merged[s] if s in merged else self.merge(s.replace(" ", MARK))
             if ids != their_ids and len(s) > 1:  # the library gives nothing for a mark alone
                 self.disagreed.add(s)
-                self.fell.add(s)
+                self.fell.add(s.replace(" ", MARK))
                 ids = their_ids
             out[s] = " ".join([name[i] for i in ids])
             # pieces merged from a segment's characters spell it; bytes may not
-            if s in self.fell and (text := self.unmerge(ids)) != s.replace(MARK, " "):
+            if self.fell and s.replace(" ", MARK) in self.fell and (text := self.unmerge(ids)) != s:
                 self.odd[s] = text
         self.fell.clear()
         return out
@@ -214,7 +216,7 @@ class Codec:
             got.append(self.names[self.end])
             ids = " ".join(got)
             plain = not self.odd or self.odd.keys().isdisjoint(segs)
-            decoded = ("".join(segs) if plain else "".join([self.odd.get(s, s) for s in segs])).replace(MARK, " ")
+            decoded = "".join(segs) if plain else "".join([self.odd.get(s, s) for s in segs])
             out.append((ids.count(" ") + 1, ids, decoded[1:] if decoded[:1] == " " else decoded, sum(s in self.disagreed for s in segs) if self.disagreed else 0))
         return out
 
