@@ -634,9 +634,10 @@ _FOLDER_SQL = "SELECT 'x.arc{}' AS arc, (row_number() OVER (ORDER BY 'c-' || con
 
 @query(_FOLDER_SQL.format(""))
 def folder_pack(spark, d):
-    """Files of a folder to an archive, whose files are listed and read."""
-    found = AR.read_files(spark, os.path.dirname(_packed_folder(spark, d)), "*.arc")
-    return AR.entries(found).select("arc", "k", "name", F.decode(B.dsc_decompress("payload"), "UTF-8").alias("text"))
+    """Files of a folder to an archive, whose files are listed and read, in runs."""
+    spark.dataSource.register(AR.ArchiveSource)
+    found = spark.read.format("arc").load(_packed_folder(spark, d))
+    return found.select("arc", "k", "name", F.decode(B.dsc_decompress("payload"), "UTF-8").alias("text"))
 
 
 @query(_FOLDER_SQL.format(".bak"))

@@ -31,7 +31,12 @@ def entries(blobs: DataFrame, payload: bool = True) -> DataFrame:
     rows = rows.withColumn("name", F.element_at(F.split(F.decode(raw, "ISO-8859-1"), "\u0000"), 1))
     rows = rows.withColumn("start", B.sint(F.col("content"), at + NAME).cast("int")).withColumn("len", B.sint(F.col("content"), at + NAME + 4).cast("int"))
     data = F.substring(F.col("content"), F.lit(HEAD) + F.col("n") * ROW + F.col("start") + 1, F.col("len"))
-    return rows.select("arc", "k", "name", "start", "len", *([data.alias("payload")] if payload else []))
+    if not payload:
+        return rows.select("arc", "k", "name", "start", "len")
+    # what a generator makes is no expression over the content: else that would be substituted into
+    # a Python function's arguments, and each entry's row would carry the whole archive to it
+    rows = rows.select("arc", "k", "name", "start", "len", data.alias("payload"))
+    return rows.select("arc", "k", "name", "start", "len", F.explode(F.array("payload")).alias("payload"))
 
 
 def lookup(table: DataFrame) -> DataFrame:

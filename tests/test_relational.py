@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -264,6 +265,44 @@ def test_pack_folder_and_backup(spark, tmp_path):
         AW.pack_folder(spark, str(tmp_path))
 
 
+def test_no_entry_carries_its_archive_to_python(spark, tmp_path):
+    def into_python(plan):  # noqa: ANN001, ANN202
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [c.output().mkString(",") for c in children if plan.nodeName() == "ArrowEvalPython"] + [x for c in children for x in into_python(c)]
+
+    text = F.decode(B.dsc_decompress("payload"), "UTF-8").alias("text")
+    table = AR.entries(AR.read_files(spark, str(tmp_path))).select("arc", "k", "name", text)
+    rows = into_python(table._jdf.queryExecution().optimizedPlan())
+    assert len(rows) == 1 and "payload#" in rows[0] and "content#" not in rows[0]
+
+
+@pytest.mark.parametrize("level", [-1, 0])
+def test_pack_folder_in_runs(spark, tmp_path, monkeypatch, level):
+    """Files are packed in several runs, none of which gathers the archive; the result is that of build."""
+    monkeypatch.setattr(AW, "RUN", 200, raising=False)
+    monkeypatch.setattr(AW, "build", lambda *_: pytest.fail("the archive is gathered"))
+    folder = tmp_path / "z.arc.d"
+    (folder / "folder").mkdir(parents=True)
+    files = {f"f{k:02d}": bytes([65 + k]) * 37 * k for k in range(12)} | {"_x": b"counts", "\u00e9": dsc.compress(b"packed")}
+    for name, data in (files | {".hidden": b"no entry"}).items():
+        (folder / name).write_bytes(data)
+    assert AW.pack_folder(spark, str(folder), level) == str(tmp_path / "z.arc")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["z.arc", "z.arc.d"]
+    got = AR.entries(AR.read_files(spark, str(tmp_path), "z.arc")).orderBy("k").collect()
+    want = {n: x if level < 0 or dsc.is_compressed(x) else dsc.compress(x, level) for n, x in sorted(files.items())}
+    assert [(r["name"], bytes(r["payload"])) for r in got] == list(want.items())
+    assert [r["start"] for r in got] == [sum(map(len, list(want.values())[:k])) for k in range(len(want))]
+
+
+def test_pack_folder_without_files_or_with_a_long_name(spark, tmp_path):
+    folder = tmp_path / "z.arc.d"
+    folder.mkdir()
+    assert Path(AW.pack_folder(spark, str(folder))).read_bytes() == AR.MAGIC + bytes(4)
+    (folder / ("n" * 17)).write_bytes(b"")
+    with pytest.raises(ValueError, match="more than 16 bytes"):
+        AW.pack_folder(spark, str(folder))
+
+
 def test_programs(spark):
     script = [x for i, x in enumerate(SCRIPT) if i != 4]
     blob = SW.write_ops(ops(spark, script, "s1"))
